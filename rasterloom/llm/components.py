@@ -1,0 +1,37 @@
+"""Connected components of a table of links, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stash
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Every node points its neighbours (large: the greater ones) and itself at the smallest of them."""
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    near = both.join(least, "a")
+    if large:
+        out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = near.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of `links` (a, b), component being the smallest node reachable.
+
+    A pair may be given in either direction and repeatedly; a link of a node with itself counts for nothing.
+    Each round is written to the shared folder, and the rounds end when one changes nothing.
+    """
+    links = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    seen = None
+    while True:
+        links = stash(_star(_star(links, True), False), "star")
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == seen:
+            break
+        seen = now
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
