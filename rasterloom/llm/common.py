@@ -114,16 +114,24 @@ class Words:
         x *= (fold[data].astype(U64) + U64(1)) * word
         self.hash = mix(np.add.reduceat(x, self.start) + (self.end - self.start).astype(U64))
 
-    def grams(self, n: int) -> np.ndarray:
+    def sums(self) -> np.ndarray:
+        """Sums from which spans() takes the hash of any run of words."""
+        out = np.zeros(len(self.hash) + 1, U64)
+        np.cumsum(self.hash * powers(_STEP, len(self.hash)), out=out[1:])
+        return out
+
+    def grams(self, n: int, seed: int = 0) -> np.ndarray:
         """Hashes of n consecutive words, by the first one's number; those that would cross a document's end are to be left out."""
         m = len(self.hash) - n + 1
         if m <= 0:
             return np.zeros(0, U64)
+        if seed:
+            other = Words.__new__(Words)
+            other.hash = mix(self.hash ^ U64(seed))
+            return other.grams(n)
         if n > 12:
-            step, back = powers(_STEP, len(self.hash)), powers(_STEP_INVERSE, m)
-            sums = np.zeros(len(self.hash) + 1, U64)
-            np.cumsum(self.hash * step, out=sums[1:])
-            return mix((sums[n:] - sums[:-n]) * back)
+            sums = self.sums()
+            return mix((sums[n:] - sums[:-n]) * powers(_STEP_INVERSE, m))
         out = self.hash[:m].copy()
         for j in range(1, n):
             out *= _STEP
@@ -131,6 +139,11 @@ class Words:
         return mix(out + U64(n))
 
 
+def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from start to before end; sums: of Words.sums()."""
+    return mix((sums[end] - sums[start]) * powers(_STEP_INVERSE, len(sums))[start] + (end - start).astype(U64))
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
