@@ -212,7 +212,7 @@ def _with_words(docs: DataFrame, window: int, column: str, of) -> DataFrame:
 
 
 SQL = """
-with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\\\t\\\\n\\\\v\\\\f\\\\r]+') w from documents),
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+') w from documents),
 k as (select doc_id, k, md5(array_to_string(w[k : k + 49], ' ')) h from (select doc_id, w, unnest(range(1, len(w) - 48)) k from w where len(w) >= 50)),
 f as (select h, min(doc_id) m from k group by 1),
 g as (select distinct doc_id, p from (select doc_id, unnest(range(k, k + 50)) p from k join f using (h) where m < doc_id)),
