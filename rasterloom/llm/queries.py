@@ -22,6 +22,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import digests
 
@@ -75,11 +81,18 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(stash(format_chats(turns.unionByName(own)), "chats"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, ngram_join, substrings, warc
+    from . import decontaminate, lines, ngram_join, substrings, warc
 
-    return {"op1_warc": warc.SQL, "op3_substring_dedup": substrings.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
+    return {"op1_warc": warc.SQL, "op2_line_dedup": lines.SQL, "op3_substring_dedup": substrings.SQL, "op4_ngram_jaccard_join": ngram_join.SQL, "op8_benchmark_decontamination": decontaminate.SQL}
