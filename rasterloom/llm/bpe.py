@@ -238,25 +238,27 @@ def decode(encoded: DataFrame, ranks_path: str, split: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, bytes binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, split: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the rows of encode() and of decode() after it, as digests, in one pass."""
+def digests(docs: DataFrame, ranks_path: str, split: str, *, ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): the rows of encode() and of decode() after it, as digests, in one pass."""
     shared = _spread(docs, ranks_path, split)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
 
     def run(batches):
         e = encoder(*shared.value)
         for batch in batches:
             for row, to, data, offsets in pieces(batch, "text"):
                 texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                ids, at = e.encode(texts)
-                own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(row, to - row),
-                        pa.array([len(x) for x in own], pa.int64()),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]),
-                        pa.array([hashlib.sha256(e.decode(x)).hexdigest() for x in own]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                flat, at = e.encode(texts)
+                own = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                raw = [x.astype("<u4").tobytes() for x in own]
+                columns = [
+                    batch.column("doc_id").slice(row, to - row),
+                    pa.array([len(x) for x in own], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in raw]),
+                    pa.array([hashlib.sha256(e.decode(x)).hexdigest() for x in own]),
+                    pa.array(raw, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
