@@ -8,9 +8,12 @@ each.  One of the n1 partitions then holds at most one differing element, which
 its three parts equal: the three pairs of parts of every partition are a set's signatures, and
 sufficiently similar sets share one of them for certain.
 
-Equal sets are one node, so copies cost nothing.  The members of a signature are compared with
-its smallest node, the hub; where a signature's members do not end in one component, all of
-its pairs across components are compared too, so no link that would join two components is lost.
+Equal sets are one node, so copies cost nothing.  A node of which too many shingles are in no
+other candidate cannot have a partner and goes.  The other members of a signature are compared with its
+smallest node, the hub.  Nodes that hubs tie together are a cluster; where the links found leave a
+cluster in several components, its sets are compared in blocks, each pair of blocks in a task
+of its own that returns no more links than it joins components.  So no link that would
+join two components is lost, and no table of pairs is made.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, NOT_BLANK, U64, Words, mix, pieces, signed, stash
 from .components import components
 
+#: Shingles and documents of a block of a cluster.
+BLOCK_SHINGLES, BLOCK_DOCS = 1 << 21, 2048
+#: Shingles that are counted in one matrix product.
+_COLUMNS = 4096
 #: Each band's upper end is this many times its lower end.
 BAND = 1.5
 
@@ -127,27 +134,101 @@ def _stars(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (s, hubs, n)], ["sig", "hub", "node"])
 
 
-def _verify(n: int, percent: int):
+def _set_rows(n: int):
+    """Of rows (node, rep, text): (node, rep, size, set), without texts that are not the node's."""
+
+    def run(batches):
+        for batch in batches:
+            for row, to, data, offsets in pieces(batch, "text"):
+                each = sets(data, offsets, n)
+                nodes = batch.column("node").slice(row, to - row).to_pylist()
+                own = [i for i, s in enumerate(each) if len(s) and signed(np.array([names(s)[0]], U64))[0] == nodes[i]]
+                part = batch.slice(row, to - row).take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("rep"), pa.array([len(each[i]) for i in own], pa.int64()), pa.array([each[i].tobytes() for i in own], pa.binary())], ["node", "rep", "size", "set"])
+
+    return run
+
+
+def _elements(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            each = [np.frombuffer(x, np.int64) for x in batch.column("set").slice(a, 200).to_pylist()]
+            node = batch.column("node").slice(a, 200).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(node, [len(x) for x in each]))], ["x", "node"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    both = int((z[1:] == z[:-1]).sum())
+    return 100 * both >= percent * (len(z) - both)
+
+
+def _verify(percent: int):
+    """Of rows (ra, sa, rb, sb): (ra, rb) of the similar sets."""
+
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-            ra, rb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ra", "rb"))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (sets(*_one(batch, c, i), n)[0] for c in ("ta", "tb"))
-                if signed(np.array([names(x)[0], names(y)[0]], U64)).tolist() != [a[i], b[i]]:
-                    continue  # another text under the same doc_id
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ra[keep]), pa.array(rb[keep])], ["a", "b"])
+            keep = [similar(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
+            if any(keep):
+                yield pa.RecordBatch.from_arrays([batch.column("ra"), batch.column("rb")], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _one(batch: pa.RecordBatch, column: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = (batch.column(column)[i].as_py() or "").encode()
-    return np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+def block_links(each: list[np.ndarray], comp: list, left: list[bool], right: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of the left and of the right block, as many as join components."""
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    sizes = np.array([len(s) for s in each])
+    flat = np.concatenate(each)
+    who = np.repeat(np.arange(len(each)), sizes)
+    values, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    who, number = who[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    who, number = who[order], number[order]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    at = {"a": np.full(len(each), -1), "b": np.full(len(each), -1)}
+    at["a"][a], at["b"][b] = np.arange(len(a)), np.arange(len(b))
+    for start in range(0, int((count > 1).sum()), _COLUMNS):
+        lo, hi = np.searchsorted(number, [start, start + _COLUMNS])
+        sides = []
+        for side, rows in (("a", a), ("b", b)):
+            m = np.zeros((len(rows), _COLUMNS), np.float32)
+            w = at[side][who[lo:hi]]
+            m[w[w >= 0], number[lo:hi][w >= 0] - start] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    both = shared.astype(np.int64)
+    found = np.argwhere(100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both))
+    root = {c: c for c in comp}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in found.tolist():
+        x, y = top(comp[a[i]]), top(comp[b[j]])
+        if x != y:
+            root[x] = y
+            out.append((int(a[i]), int(b[j])))
+    return out
+
+
+def _block_rows(percent: int, kind: pa.DataType):
+    def run(table: pa.Table) -> pa.Table:
+        each = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
+        i, j, b = (table.column(c).to_pylist() for c in ("i", "j", "block"))
+        links = block_links(each, table.column("comp").to_pylist(), [x == y for x, y in zip(b, i, strict=True)], [x == y for x, y in zip(b, j, strict=True)], percent)
+        rep = table.column("rep").to_pylist()
+        return pa.table({"a": pa.array([rep[x] for x, _ in links], kind), "b": pa.array([rep[y] for _, y in links], kind)})
+
+    return run
 
 
 def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
@@ -166,28 +247,30 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     reps = stash(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     signed_rows = known.select("doc_id", "text").mapInArrow(_signature_rows(n, percent), "sig long, node long")
     members = stash(signed_rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long"), "members")
-    tested = stash(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "h1")
-        wanted = reps.join(nodes, "h1").select(F.col("h1").alias("node"), F.col("rep"))
-        text = stash(known.join(wanted, known.doc_id == wanted.rep).select("node", "rep", "text"), "texts")
-        side = lambda x: text.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("text").alias(f"t{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(n, percent), f"a {id_type}, b {id_type}")
-
-    links = stash(linked(tested), "links")
-    of = components(links)
-    # signatures whose members are in several components: their pairs across components that were not compared yet
     each = members.select("sig", "node").unionAll(members.select("sig", F.col("hub").alias("node")).distinct())
-    placed = each.join(reps.select(F.col("h1").alias("node"), "rep"), "node").join(of.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "node", F.coalesce("component", "rep").alias("comp"))
-    placed = stash(placed, "placed")
-    mixed = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo <> hi and many > 2").select("sig")
-    inside = stash(placed.join(mixed, "sig"), "mixed")
-    x, y = (inside.select("sig", F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    more = x.join(y, "sig").where("ca <> cb and a < b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    more = stash(more, "more")
-    if not more.isEmpty():
-        of = components(links.unionAll(linked(more)))
+    nodes = each.select(F.col("node").alias("h1")).distinct()
+    wanted = reps.join(nodes, "h1").select(F.col("h1").alias("node"), "rep")
+    found = stash(known.join(wanted, known.doc_id == wanted.rep).select("node", "rep", "text").mapInArrow(_set_rows(n), f"node long, rep {id_type}, size long, set binary"), "node-sets")
+    # a shingle that one candidate alone has is in no intersection
+    alone = found.mapInArrow(_elements, "x long, node long").groupBy("x").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    kept = found.select("node", "size").distinct().join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * percent <= F.col("size") * (100 - percent)).select("node").distinct()
+    each = stash(each.join(stash(kept, "kept"), "node"), "each")
+    hubs = each.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("sig", "hub")
+    tested = stash(each.join(stash(hubs, "hubs"), "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
+    side = lambda x: found.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("set").alias(f"s{x}"))
+    links = stash(tested.join(side("a"), "a").join(side("b"), "b").select("ra", "sa", "rb", "sb").mapInArrow(_verify(percent), f"a {id_type}, b {id_type}"), "links")
+    of = stash(components(links), "components")
+    # clusters that the links leave in several components
+    placed = components(tested).join(found.select("node", "rep", "size"), "node").join(of.withColumnRenamed("node", "rep").withColumnRenamed("component", "comp"), "rep", "left")
+    placed = stash(placed.select(F.col("component").alias("cluster"), "node", "rep", "size", F.coalesce("comp", "rep").alias("comp")), "placed")
+    several = placed.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.sum("size").alias("shingles")).where("lo <> hi and many > 2")
+    several = stash(several.select("cluster", F.greatest(F.ceil(F.col("many") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "several")
+    if not several.isEmpty():
+        dealt = placed.join(several, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", "node", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        dealt = dealt.join(found.select("node", "rep", "set"), ["node", "rep"])
+        kind = dealt.limit(0).select("rep").toArrow().schema.field("rep").type
+        of = components(links.unionAll(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_rows(percent, kind), f"a {id_type}, b {id_type}")))
     of = of.select(F.col("node").alias("rep"), "component")
     named = rows.join(reps, ["h1", "h2", "n_shingles"], "left").join(of, "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
