@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, pieces
+from .common import pieces
 
 BLOCK = 128
 PERCENT = 90
@@ -53,8 +54,8 @@ def pack(ids: np.ndarray) -> dict[str, np.ndarray]:
         own = np.flatnonzero(width == w)
         for a in range(0, len(own), 4096):
             part = own[a : a + 4096]
-            each = (x[part][:, :, None] >> np.arange(w - 1, -1, -1)) & 1
-            bits[starts[part][:, None] + np.arange(w * (BLOCK // 8))] = np.packbits(each.astype(np.uint8).reshape(len(part), -1), axis=1)
+            each = np.unpackbits(x[part].astype(">u2" if w <= 16 else ">u4").view(np.uint8), axis=1).reshape(len(part), BLOCK, -1)[:, :, -w:]
+            bits[starts[part][:, None] + np.arange(w * (BLOCK // 8))] = np.packbits(each.reshape(len(part), -1), axis=1)
     return {"least": least.astype("<u4"), "width": width, "starts": starts.astype("<u8"), "patches": np.concatenate([[0], np.cumsum(over.sum(1))]).astype("<u8"), "place": place.astype(np.uint8), "value": x[over].astype("<u4"), "bits": bits}
 
 
@@ -67,8 +68,10 @@ def unpack(p: dict[str, np.ndarray], first: int, last: int) -> np.ndarray:
         for a in range(0, len(own), 4096):
             part = own[a : a + 4096]
             raw = p["bits"][starts[first + part][:, None] + np.arange(w * (BLOCK // 8))]
-            each = np.unpackbits(raw, axis=1).reshape(len(part), BLOCK, w)
-            out[part] = each @ (1 << np.arange(w - 1, -1, -1))
+            kind = ">u2" if w <= 16 else ">u4"
+            each = np.zeros((len(part), BLOCK, 8 * np.dtype(kind).itemsize), np.uint8)
+            each[:, :, -w:] = np.unpackbits(raw, axis=1).reshape(len(part), BLOCK, w)
+            out[part] = np.packbits(each.reshape(len(part), -1), axis=1).view(kind)
     a, b = patches[first], patches[last]
     block = np.repeat(np.arange(last - first), np.diff(patches[first : last + 1]))
     out[block, p["place"][a:b]] = p["value"][a:b]
@@ -103,11 +106,32 @@ def segments(content: bytes):
         at += size + 1
 
 
+#: A chunk's leading letters and its closing signs, each surely one piece for the pre-tokeniser, or the whole chunk.
+_LETTER, _SIGN, _END = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])", rb"[!-&(-/:-@\[-`{-~]", rb"(?=[\x20\x09-\x0d]|\Z)"
+_CHUNK = re.compile(_LETTER + rb"++(?=" + _SIGN + rb"*+" + _END + rb")|" + _SIGN + rb"++" + _END + rb"|[^\x20\x09-\x0d]+")
+_SIMPLE = re.compile(_LETTER + rb"+|" + _SIGN + rb"+")
+
+
+class _Numbers(dict):
+    """Numbers chunks as they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk):
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's normaliser makes every blank one space and its pre-tokeniser drops it, so a text's ids are those of
-    its chunks between blanks, each encoded as a text of its own; chunks repeat, and a worker remembers them.
+    its chunks between blanks, and of a chunk's letters and closing signs, each encoded as a text of its own; they repeat, and a
+    worker remembers them.  Letters or signs alone are one piece, of which the last token alone ends a word:
+    many are encoded as one text.
     """
 
     def __init__(self, data: str):
@@ -115,49 +139,62 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data)
-        self.known: dict[bytes, int] = {}
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self):
-        self.known.clear()
-        self.start, self.length, self.flat, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16), 0
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        for a in range(0, len(chunks), 4096):
-            part = chunks[a : a + 4096]
-            got = [e.ids for e in self.library.encode_batch([c.decode() for c in part], add_special_tokens=False)]
-            count = np.array([len(x) for x in got])
-            ids = np.array([i for x in got for i in x], np.int64)
-            if len(ids) and ids.max() >= 1 << 16 and self.flat.dtype == np.uint16:
-                self.flat = self.flat.astype(np.uint32)
-            at = len(self.known)
-            while at + len(part) > len(self.start):
-                self.start, self.length = np.concatenate([self.start, self.start * 0]), np.concatenate([self.length, self.length * 0])
-            while self.size + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat * 0])
-            self.flat[self.size : self.size + len(ids)] = ids
-            self.start[at : at + len(part)] = self.size + np.cumsum(count) - count
-            self.length[at : at + len(part)] = count
-            self.size += len(ids)
-            self.known.update(zip(part, range(at, at + len(part)), strict=True))
+        self.known = _Numbers()
+        self.start, self.length, self.flat, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+
+    def _ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after another, how many of each)."""
+        ids = np.array(self.library.encode_batch([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.closes[ids])
+        if len(ends) == len(chunks) and (not len(ids) or ends[-1] == len(ids) - 1):
+            return ids, np.diff(ends, prepend=-1)
+        return self._apart(chunks)
+
+    def _apart(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.library.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got])
+
+    def _learn(self) -> None:
+        new, self.known.new = self.known.new, []
+        base = len(self.known) - len(new)
+        while len(self.known) > len(self.start):
+            self.start, self.length = np.concatenate([self.start, self.start * 0]), np.concatenate([self.length, self.length * 0])
+        simple = np.array([_SIMPLE.fullmatch(c) is not None for c in new], bool)
+        for own, of in ((np.flatnonzero(simple), self._ids), (np.flatnonzero(~simple), self._apart)):
+            for a in range(0, len(own), 1024):
+                part = own[a : a + 1024]
+                ids, count = of([new[i] for i in part.tolist()])
+                while self.size + len(ids) > len(self.flat):
+                    self.flat = np.concatenate([self.flat, self.flat * 0])
+                self.flat[self.size : self.size + len(ids)] = ids
+                self.start[base + part] = self.size + np.cumsum(count) - count
+                self.length[base + part] = count
+                self.size += len(ids)
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, one after another; how many of each)."""
         if len(self.known) > REMEMBER:
             self._forget()
-        each = [t.translate(_BLANK).split() for t in texts]
+        find = _CHUNK.findall
+        # special tokens are the only strings that depend on the case of A-Z
+        each = [find(t if b"<|" in t else t.lower()) for t in texts]
         flat = [c for cs in each for c in cs]
-        if new := set(flat).difference(self.known):
-            self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if self.known.new:
+            self._learn()
         count = self.length[at]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(self.start[at] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
         bounds = np.append(0, ends)[np.cumsum([0, *map(len, each)])]
-        return np.insert(ids.astype(np.int64), bounds[1:], end), np.diff(bounds) + 1
+        return np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
 
 
-_BLANK = bytes(0x20 if b in BLANKS else b for b in range(256))
 _made: dict[bytes, Tokens] = {}
 
 
