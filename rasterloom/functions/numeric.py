@@ -47,3 +47,8 @@ def normal(seed: int, *keys) -> Column:
     """Standard normal by Box and Muller from two uniform() numbers."""
     a, b = uniform(2 * seed + 1, *keys), uniform(2 * seed + 2, *keys)
     return F.sqrt(-2 * F.log(1 - a)) * F.cos(2 * F.pi() * b)
+
+
+def micros(t) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone (the session's is UTC)."""
+    return F.unix_micros((F.col(t) if isinstance(t, str) else t).cast("timestamp"))
