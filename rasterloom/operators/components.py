@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from ..checkpoints import stash
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

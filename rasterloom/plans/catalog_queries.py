@@ -48,16 +48,10 @@ add("cat_written_and_opened", lambda s, d: _round_trip(s, d), f"select filepath,
 
 
 def _round_trip(spark, sf_dir):
-    import uuid
-
+    from ..checkpoints import scratch
     from ..sources.catalog import open_catalog
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    path = scratch(spark, "catalog")
     Catalog(cat(spark, sf_dir)).write(path, partition_by=["year"])
     return open_catalog(spark, path, strict=True).query(bounds=_AOI).df.select("filepath", "xmin", "ymax", "start_time", "year")
 
