@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def sweep(spark: SparkSession, needed: DataFrame | None = None) -> None:
     _left[sc.applicationId] = kept
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name, keep=keep)
