@@ -242,3 +242,48 @@ def test_stash_survives_its_source(spark):
     b = stash(a, "t")
     a.unpersist()
     assert b.count() == 3
+
+
+def test_item_searches(spark, tmp_path):
+    import json
+
+    from rasterloom.sources import search
+
+    stac = [{"id": f"s{i}", "collection": "c", "bbox": [i, 0, i + 1, 1], "properties": {"datetime": f"2024-01-0{i + 1}T00:00:00Z", "k": str(i % 2)}, "assets": {"data": {"href": f"h{i}"}, "qa": {"href": "q"}}} for i in range(5)]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.json").write_text("\n".join(map(json.dumps, stac)))
+    s = search.StacSource(spark, str(tmp_path / "s"), "stac")
+    assert [r.id for r in s.search(bounds=(1.5, 0, 3.5, 1), filters={"k": "1"}).orderBy("id").collect()] == ["s1", "s3"]
+    row = s.search(limit=1).first()
+    assert row.assets == {"data": "h0", "qa": "q"} and row.provenance == {"via": "stac"} and row.source == "stac"
+    umm = {"GranuleUR": "g", "CollectionReference": {"ShortName": "C"}, "CloudCover": 12.5, "RelatedUrls": [{"URL": "https://h/p/file.tif", "Type": "GET DATA"}], "SpatialExtent": {"HorizontalSpatialDomain": {"Geometry": {"BoundingRectangles": [{"WestBoundingCoordinate": 1, "SouthBoundingCoordinate": 2, "EastBoundingCoordinate": 3, "NorthBoundingCoordinate": 4}]}}}, "TemporalExtent": {"SingleDateTime": "2024-01-01T00:00:00Z"}}
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "a.json").write_text(json.dumps({"meta": {}, "umm": umm}))
+    row = search.GranuleSource(spark, str(tmp_path / "g"), "granules").search(collection="C").first()
+    assert (row.id, row.xmin, row.ymax, row.assets, row.properties) == ("g", 1.0, 4.0, {"file": "https://h/p/file.tif"}, {"cloud_cover": "12.5"})
+
+
+def test_staging_copies_once(spark, tmp_path):
+    from rasterloom.sources import items
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.tif").write_text("x")
+    c = Catalog(spark.createDataFrame([(f"file://{tmp_path}/in/a.tif",)], "filepath string"))
+    staged = items.stage(c, str(tmp_path / "cache"))
+    assert [r.status for r in items.copy_files(staged).collect()] == ["copied"]
+    assert [r.status for r in items.copy_files(staged).collect()] == ["fresh"]
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from rasterloom import __main__ as cli
+
+    monkeypatch.setattr(cli, "local_session", lambda n: spark)
+    rows = [("f", 0.0, 0.0, 1.0, 1.0, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))]
+    Catalog(spark.createDataFrame(rows, "filepath string, xmin double, ymin double, xmax double, ymax double, start_time timestamp, end_time timestamp")).write(str(tmp_path / "c"))
+    assert cli.main(["query", str(tmp_path / "c"), "--bbox", "0", "0", "9", "9", "--start", "2024-01-01"]) == 0
+    assert json.loads(capsys.readouterr().out)["n"] == 1
+    assert cli.main(["convert", str(tmp_path / "c"), "--out", str(tmp_path / "d"), "--partition-by", "year"]) == 0
+    assert cli.main(["info", str(tmp_path / "d")]) == 0 and cli.main(["stats", str(tmp_path / "d")]) == 0
+    assert cli.main(["migrate", str(tmp_path / "c"), "--out", str(tmp_path / "e"), "--to-version", "9"]) == 2
