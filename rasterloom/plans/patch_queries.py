@@ -90,13 +90,13 @@ def _series(s, d):
 
 
 _T = "select a.scene, a.t \"at\", b.t, b.t - a.t + {1} k, b.v from " + _SERIES + " a join " + _SERIES + " b on a.scene = b.scene and b.t between a.t - {1} and a.t + {2} where a.t % 30 = 0 and a.t between 0 and 2400"
-_anchor = (F.col("at") % 30 == 0) & F.col("at").between(0, 2400)
+_anchor = lambda: (F.col("at") % 30 == 0) & F.col("at").between(0, 2400)
 
 
 def _split(s, d, before, after):
     own = _series(s, d)
-    anchors = own.select("scene", F.col("t").alias("at")).where(_anchor)
-    return pt.temporal_split(own, ["scene"], before, after, _anchor).join(anchors, ["scene", "at"], "left_semi")
+    anchors = own.select("scene", F.col("t").alias("at")).where(_anchor())
+    return pt.temporal_split(own, ["scene"], before, after, _anchor()).join(anchors, ["scene", "at"], "left_semi")
 
 
 add("time_split", lambda s, d: _split(s, d, 6, 3).select("scene", "at", "t", "k", tidy(F.col("v"), 9).alias("v")), f"select scene, \"at\", t, k, round(v, 9) + 0.0 v from ({_T.format('', 6, 3)})")

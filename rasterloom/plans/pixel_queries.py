@@ -11,6 +11,7 @@ from ..operators import indices as ix
 from ..operators import normalize as nz
 from ..operators import qa, spectral, viz
 from ..operators import radiometry as rad
+from ..operators.core import Expression
 from .fixtures import CUBE, PX, cube, px
 from .registry import add, per_pixel, query
 
@@ -32,7 +33,7 @@ for name, op, sql in (
     ("idx_evi", ix.EVI(), f"2.5 * (nir - red) / (nir + 6 * red - 7.5e0 * blue + 1 + {_E})"),
     ("idx_evi2", ix.EVI2(), f"2.5 * (nir - red) / (nir + 2.4e0 * red + 1 + {_E})"),
     ("idx_arvi", ix.ARVI(), _nd("nir", _RB)),
-    ("idx_gci", ix.GCI(), f"nir / (green + 0.01e0 + {_E}) - 1"),
+    ("idx_gci", lambda: ix.gci(F.col("nir"), F.col("green") + 0.01), f"nir / (green + 0.01e0 + {_E}) - 1"),
     ("idx_kndvi", ix.kNDVI(), f"tanh(power({_nd('nir', 'red')}, 2))"),
     ("idx_mndwi", ix.MNDWI(), _nd("green", "swir")),
     ("idx_ndmi", ix.NDMI(), _nd("nir", "swir")),
@@ -60,42 +61,39 @@ for name, op, sql in (
     ("spec_band_ratio", spectral.BandRatio(), "nir / (red + 1e-6)"),
     ("spec_normalized_difference", spectral.SpectralND(), "(nir - red) / (nir + red + 1e-6)"),
 ):
-    column = op.column()
-    if name == "idx_gci":
-        column = ix.gci(F.col("nir"), F.col("green") + 0.01)
-    per_pixel(name, column, sql)
+    per_pixel(name, op.column if isinstance(op, Expression) else op, sql)
 
-per_pixel("spec_band_math", spectral.evaluate_band_math("clip(sqrt(abs(nir - red)) ** 2 + log(nir + 1) / exp(-blue), 0.1, 2) + where(nir - 0.5, 1, 2) * maximum(red, blue) - minimum(green, -red)", ["nir", "red", "blue", "green"]), "least(greatest(power(sqrt(abs(nir - red)), 2) + ln(nir + 1) / exp(-blue), 0.1e0), 2e0) + case when nir - 0.5e0 <> 0 then 1e0 else 2e0 end * greatest(red, blue) - least(green, -red)")
-per_pixel("rad_earth_sun_distance", rad.earth_sun_distance(F.col("t")), "1 - 0.01673e0 * cos(0.0172e0 * (dayofyear(t) - 4))")
+per_pixel("spec_band_math", lambda: spectral.evaluate_band_math("clip(sqrt(abs(nir - red)) ** 2 + log(nir + 1) / exp(-blue), 0.1, 2) + where(nir - 0.5, 1, 2) * maximum(red, blue) - minimum(green, -red)", ["nir", "red", "blue", "green"]), "least(greatest(power(sqrt(abs(nir - red)), 2) + ln(nir + 1) / exp(-blue), 0.1e0), 2e0) + case when nir - 0.5e0 <> 0 then 1e0 else 2e0 end * greatest(red, blue) - least(green, -red)")
+per_pixel("rad_earth_sun_distance", lambda: rad.earth_sun_distance(F.col("t")), "1 - 0.01673e0 * cos(0.0172e0 * (dayofyear(t) - 4))")
 _G = "(2 * pi() / 365 * (dayofyear(t) - 1 + (hour(t) + minute(t) / 60e0 + second(t) / 3600e0 - 12) / 24e0))"
 _H = "(hour(t) + minute(t) / 60e0 + second(t) / 3600e0)"
 _EQ = f"(229.18e0 * (0.000075e0 + 0.001868e0 * cos({_G}) - 0.032077e0 * sin({_G}) - 0.014615e0 * cos(2 * {_G}) - 0.040849e0 * sin(2 * {_G})))"
 _DEC = f"(0.006918e0 - 0.399912e0 * cos({_G}) + 0.070257e0 * sin({_G}) - 0.006758e0 * cos(2 * {_G}) + 0.000907e0 * sin(2 * {_G}) - 0.002697e0 * cos(3 * {_G}) + 0.00148e0 * sin(3 * {_G}))"
-per_pixel("rad_solar_zenith", rad.sza(F.col("x").cast("double"), F.col("y").cast("double"), F.col("t")), f"degrees(acos(sin(radians(y)) * sin({_DEC}) + cos(radians(y)) * cos({_DEC}) * cos(radians(({_H} * 60 + {_EQ} + 4 * x) / 4 - 180))))")
-per_pixel("viz_gamma_display", viz.gamma_correct_display(F.col("nir"), 2.0), "sqrt(least(greatest(nir, 0e0), 1e0))")
+per_pixel("rad_solar_zenith", lambda: rad.sza(F.col("x").cast("double"), F.col("y").cast("double"), F.col("t")), f"degrees(acos(sin(radians(y)) * sin({_DEC}) + cos(radians(y)) * cos({_DEC}) * cos(radians(({_H} * 60 + {_EQ} + 4 * x) / 4 - 180))))")
+per_pixel("viz_gamma_display", lambda: viz.gamma_correct_display(F.col("nir"), 2.0), "sqrt(least(greatest(nir, 0e0), 1e0))")
 
-_qa = F.col("qa")
+_qa = lambda: F.col("qa")
 for name, column, sql in (
-    ("qa_bits", qa.mask_from_qa_bits(_qa, [3, 4]), "(qa & 24) <> 0"),
-    ("qa_bits_inverted", qa.mask_from_qa_bits(_qa, [2, 9], invert=True), "(qa & 516) = 0"),
-    ("qa_scl", qa.mask_from_scl(_qa % 12, [8, 9, 10]), "(qa % 12) in (8, 9, 10)"),
-    ("qa_bit_field", qa.mask_from_bit_field(_qa, [8, 9], [1, 2]), "((qa >> 8) & 3) in (1, 2)"),
-    ("qa_reduce_groups", qa.reduce_bit_masks(_qa, [[1], [5, 6]]), "(qa & 2) <> 0 or (qa & 96) <> 0"),
-    ("qa_s2_qa60", qa.S2QA60().column(), "(qa & 3072) <> 0"),
-    ("qa_s2_scl", qa.mask_from_scl(_qa % 12, [4, 5, 6], invert=True), "(qa % 12) not in (4, 5, 6)"),
-    ("qa_landsat", qa.LandsatQA_PIXEL().column(), "(qa & 24) <> 0"),
-    ("qa_landsat_all", qa.LandsatQA_PIXEL(targets=("fill", "dilated_cloud", "cirrus", "snow", "water")).column(), "(qa & 167) <> 0"),
-    ("qa_modis_state", qa.MODISStateQA(targets=("cloud", "cloud_shadow", "cirrus")).column(), "(qa & 3) in (1, 2) or (qa & 4) <> 0 or ((qa >> 8) & 3) in (1, 2, 3)"),
-    ("qa_valid_sentinel", qa.MaskValid(0.0, "green").column(), "green = 0"),
-    ("qa_clouds", qa.MaskClouds(bits=[3]).column(), "(qa & 8) <> 0"),
-    ("qa_cloud_shadow", qa.MaskCloudShadow(bits=[4]).column(), "(qa & 16) <> 0"),
-    ("qa_cirrus_all_bits", qa.MaskCirrus(bits=[2, 3], mode="all").column(), "(qa & 12) = 12"),
-    ("qa_snow", qa.MaskSnow(bits=[5]).column(), "(qa & 32) <> 0"),
-    ("qa_water_values", qa.MaskWater(values=[6, 7, 8]).column(), "qa in (6, 7, 8)"),
-    ("qa_no_data", qa.MaskNoData(bands=("green", "blue"), fill=0.0).column(), "green = 0 or blue = 0"),
-    ("qa_saturated", qa.MaskSaturated(["red", "swir"], 1.0).column(), "red = 1 or swir = 1"),
-    ("restore_saturation_flag", F.col("red") >= 0.98, "red >= 0.98e0"),
-    ("mask_bbox", F.col("x").between(10, 20) & F.col("y").between(5, 30), "x between 10 and 20 and y between 5 and 30"),
+    ("qa_bits", lambda: qa.mask_from_qa_bits(_qa(), [3, 4]), "(qa & 24) <> 0"),
+    ("qa_bits_inverted", lambda: qa.mask_from_qa_bits(_qa(), [2, 9], invert=True), "(qa & 516) = 0"),
+    ("qa_scl", lambda: qa.mask_from_scl(_qa() % 12, [8, 9, 10]), "(qa % 12) in (8, 9, 10)"),
+    ("qa_bit_field", lambda: qa.mask_from_bit_field(_qa(), [8, 9], [1, 2]), "((qa >> 8) & 3) in (1, 2)"),
+    ("qa_reduce_groups", lambda: qa.reduce_bit_masks(_qa(), [[1], [5, 6]]), "(qa & 2) <> 0 or (qa & 96) <> 0"),
+    ("qa_s2_qa60", lambda: qa.S2QA60().column(), "(qa & 3072) <> 0"),
+    ("qa_s2_scl", lambda: qa.mask_from_scl(_qa() % 12, [4, 5, 6], invert=True), "(qa % 12) not in (4, 5, 6)"),
+    ("qa_landsat", lambda: qa.LandsatQA_PIXEL().column(), "(qa & 24) <> 0"),
+    ("qa_landsat_all", lambda: qa.LandsatQA_PIXEL(targets=("fill", "dilated_cloud", "cirrus", "snow", "water")).column(), "(qa & 167) <> 0"),
+    ("qa_modis_state", lambda: qa.MODISStateQA(targets=("cloud", "cloud_shadow", "cirrus")).column(), "(qa & 3) in (1, 2) or (qa & 4) <> 0 or ((qa >> 8) & 3) in (1, 2, 3)"),
+    ("qa_valid_sentinel", lambda: qa.MaskValid(0.0, "green").column(), "green = 0"),
+    ("qa_clouds", lambda: qa.MaskClouds(bits=[3]).column(), "(qa & 8) <> 0"),
+    ("qa_cloud_shadow", lambda: qa.MaskCloudShadow(bits=[4]).column(), "(qa & 16) <> 0"),
+    ("qa_cirrus_all_bits", lambda: qa.MaskCirrus(bits=[2, 3], mode="all").column(), "(qa & 12) = 12"),
+    ("qa_snow", lambda: qa.MaskSnow(bits=[5]).column(), "(qa & 32) <> 0"),
+    ("qa_water_values", lambda: qa.MaskWater(values=[6, 7, 8]).column(), "qa in (6, 7, 8)"),
+    ("qa_no_data", lambda: qa.MaskNoData(bands=("green", "blue"), fill=0.0).column(), "green = 0 or blue = 0"),
+    ("qa_saturated", lambda: qa.MaskSaturated(["red", "swir"], 1.0).column(), "red = 1 or swir = 1"),
+    ("restore_saturation_flag", lambda: F.col("red") >= 0.98, "red >= 0.98e0"),
+    ("mask_bbox", lambda: F.col("x").between(10, 20) & F.col("y").between(5, 30), "x between 10 and 20 and y between 5 and 30"),
 ):
     per_pixel(name, column, sql, exact=True)
 

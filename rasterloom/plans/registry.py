@@ -35,9 +35,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def per_pixel(name: str, column: Column, sql: str, *, exact: bool = False) -> None:
-    """A query with one computed column of every pixel of px; `exact` for columns that are not numbers to round."""
-    run = lambda s, d: fixtures.px(s, d).select("scene", "y", "x", (column if exact else tidy(column)).alias("v"))
+def per_pixel(name: str, column: Callable[[], Column], sql: str, *, exact: bool = False) -> None:
+    """A query with one computed column of every pixel of px; `exact` for columns that are not numbers to round.
+
+    The column is made when the query runs: without a session there are no columns.
+    """
+    run = lambda s, d: fixtures.px(s, d).select("scene", "y", "x", (column() if exact else tidy(column())).alias("v"))
     add(name, run, f"select scene, y, x, {sql if exact else f'round({sql}, 6) + 0.0'} v from {fixtures.PX}")
 
 
