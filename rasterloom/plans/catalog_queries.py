@@ -56,7 +56,7 @@ def _round_trip(spark, sf_dir):
     return open_catalog(spark, path, strict=True).query(bounds=_AOI).df.select("filepath", "xmin", "ymax", "start_time", "year")
 
 
-add("grid_divide_evenly", lambda s, d: cat(s, d).select("filepath", slices.divided_evenly(F.col("xmax") - F.col("xmin"), F.lit(0.75)).alias("n")), f"select filepath, case when abs(round_even((xmax - xmin) / 0.75e0, 0) * 0.75e0 - (xmax - xmin)) <= 1e-3 then round_even((xmax - xmin) / 0.75e0, 0)::bigint end n from {CAT}")
+add("grid_divide_evenly", lambda s, d: cat(s, d).select("filepath", F.coalesce(slices.divided_evenly(F.col("xmax") - F.col("xmin"), F.lit(0.75)), F.lit(-1)).alias("n")), f"select filepath, case when abs(round_even((xmax - xmin) / 0.75e0, 0) * 0.75e0 - (xmax - xmin)) <= 1e-3 then round_even((xmax - xmin) / 0.75e0, 0)::bigint else -1 end n from {CAT}")
 add(
     "grid_is_aligned",
     lambda s, d: cat(s, d).select("filepath", slices.is_grid_aligned({"crs": F.lit("a"), "rx": F.lit(0.75), "ry": F.lit(0.75), "x0": F.col("xmin"), "y0": F.col("ymin")}, {"crs": F.lit("a"), "rx": F.lit(0.75), "ry": F.lit(0.75), "x0": F.lit(0.0), "y0": F.lit(0.0)}).alias("v")),

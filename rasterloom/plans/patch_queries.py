@@ -107,7 +107,7 @@ for _n, _f, _sql in (("lookback", pt.lookback(5), "4 preceding and current row")
 add("time_multi_scale", lambda s, d: pt.frame(pt.frame(_series(s, d), ["scene"], ["t"], -2, 0, a=F.avg("v")), ["scene"], ["t"], -6, 0, b=F.avg("v")).select("scene", "t", tidy(F.col("a"), 4).alias("a"), tidy(F.col("b"), 4).alias("b")), f"select scene, t, round(avg(v) over (partition by scene order by t rows between 2 preceding and current row), 4) + 0.0 a, round(avg(v) over (partition by scene order by t rows between 6 preceding and current row), 4) + 0.0 b from {_SERIES}")
 add("time_stencil", lambda s, d: pt.Stencil(-6, 6, 3, "both").sample(_series(s, d), ["scene"], _series(s, d).where("t % 50 = 0")).select("scene", F.col("origin").cast("long").alias("origin"), "k", tidy(F.col("v"), 9).alias("v")), f"select a.scene, a.t origin, k::int k, round(b.v, 9) + 0.0 v from {_SERIES} a, range(5) r(k), {_SERIES} b where a.t % 50 = 0 and b.scene = a.scene and b.t = a.t - 6 + 3 * k")
 add("time_stencil_origins", lambda s, d: pt.Stencil(-30, 10, 5).valid_origins(_series(s, d).where("scene = 1")).select("t"), f"with s as (select * from {_SERIES} where scene = 1), e as (select min(t) lo, max(t) hi from s) select t from s, e where t - 30 >= lo and t + 5 <= hi")
-add("time_fold", lambda s, d: ag.temporal_fold(_series(s, d).where("t < 200"), ["scene"], F.lit(0.0), lambda acc, v: acc * 0.5 + v).select("scene", tidy(F.col("v"), 9).alias("v")), f"with s as (select *, row_number() over (partition by scene order by t desc) n from {_SERIES} where t < 200) select scene, round(sum(v * power(0.5e0, n - 1)), 6) + 0.0 v from s group by 1")
+add("time_fold", lambda s, d: ag.temporal_fold(_series(s, d).where("t < 200"), ["scene"], F.lit(0.0), lambda acc, v: acc * 0.5 + v).select("scene", tidy(F.col("v"), 9).alias("v")), f"with s as (select *, row_number() over (partition by scene order by t desc) n from {_SERIES} where t < 200) select scene, round(sum(v * power(0.5e0, n - 1)), 9) + 0.0 v from s group by 1")
 add("time_hierarchical", lambda s, d: ag.hierarchical(_split(s, d, 6, 3).select(F.concat_ws("/", "scene", "at").alias("anchor"), F.lit("fine").alias("scale"), "t", "v")).select("anchor", F.size(F.element_at("scales", "fine")).alias("n")), f"select scene || '/' || \"at\" anchor, count(*)::int n from ({_T.format('', 6, 3)}) group by 1")
 add("time_spatio_temporal", lambda s, d: pt.spatio_temporal_product(_P.split(dem(s, d), _SHAPE).where("ay = 12 and ax = 10").select("ay", "ax", "y", "x"), px(s, d).select("y", "x", "scene", "nir")).groupBy("ay", "ax", "scene").agg(tidy(F.avg("nir")).alias("v")), f"select 12::bigint ay, 10::bigint ax, scene, round(avg(nir), 6) + 0.0 v from {PX} where y between 12 and 27 and x between 10 and 29 group by 3")
 
