@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,14 @@ def sweep(spark: SparkSession, needed: DataFrame | None = None) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage.
+
+    Twice: what the first round frees may be all that refers to the rest.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def stash(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
