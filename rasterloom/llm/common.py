@@ -6,14 +6,13 @@ hashes and the hashes of word n-grams are computed for many documents at once.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from ..checkpoints import release, scratch, stash  # noqa: F401
 
 U64 = np.uint64
 #: Text bytes that are turned into hashes at a time; a longer document is a piece of its own.
@@ -34,27 +33,6 @@ _STEP = U64(0xD6E8FEB86659FD93)
 _STEP_INVERSE = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) a new local one."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/rasterloom/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: the lineage ends there and a lost executor loses nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))

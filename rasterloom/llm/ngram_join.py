@@ -3,10 +3,13 @@
 A document's set is its distinct n-word shingles (64-bit hashes).  Sets whose Jaccard similarity
 is at least t have sizes within a factor t and differ in at most k = 2 (1-t)/(1+t) * size elements.
 Sizes are cut into bands; a set signs for its own band and, if it may have a partner there, for
-the next one.  For a band the hashed domain is cut into n1 = k // 2 + 1 partitions of three parts
-each.  One of the n1 partitions then holds at most one differing element, which leaves two of
-its three parts equal: the three pairs of parts of every partition are a set's signatures, and
-sufficiently similar sets share one of them for certain.
+the next one.  For a band the hashed domain is cut into blocks of partitions, of three parts
+each.  With m blocks one holds at most d = k // m differing elements, so of its d // 2 + 3
+partitions three hold at most one each, which leaves two of their three parts equal: the three
+pairs of parts of every partition are a set's signatures, and sufficiently similar sets share
+three of them for certain, of different partitions of one block.  A pair of parts without elements says nothing; such
+signatures count by threes only, so that sets share a signature with elements or a combination of
+three empty ones.
 
 Equal sets are one node, so copies cost nothing.  A node of which too many shingles are in no
 other candidate cannot have a partner and goes.  The other members of a signature are compared with its
@@ -18,18 +21,22 @@ join two components is lost, and no table of pairs is made.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_BLANK, U64, Words, mix, pieces, signed, stash
-from .components import components
+from ..operators.components import components
+from .common import LOWER, NOT_BLANK, U64, Words, mix, pieces, release, signed, stash
 
 #: Shingles and documents of a block of a cluster.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 21, 2048
 #: Shingles that are counted in one matrix product.
 _COLUMNS = 4096
+#: Differing elements that a block of partitions may hold, about.
+SPREAD = 30
 #: Each band's upper end is this many times its lower end.
 BAND = 1.5
 
@@ -69,14 +76,27 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         k = (100 - percent) * 2 * (_BANDS[tag + 1] - 1) // (100 + percent)
         if not k:
             continue  # sets of these sizes are equal or not similar enough
-        n1 = k // 2 + 1
+        blocks = max(1, k // SPREAD)
+        each = k // blocks // 2 + 3
+        n1 = blocks * each
         x = mix(s + U64(tag))
+        place = ((x >> U64(32)) * U64(3 * n1) >> U64(32)).astype(np.int64)
         sums = np.zeros(3 * n1, U64)
-        np.add.at(sums, ((x >> U64(32)) * U64(3 * n1) >> U64(32)).astype(np.int64), mix(x))
-        part = mix(sums + U64(0x51ED270B)).reshape(n1, 3)
+        np.add.at(sums, place, mix(x))
+        part, count = mix(sums + U64(0x51ED270B)).reshape(n1, 3), np.bincount(place, minlength=3 * n1).reshape(n1, 3)
         where = (np.arange(n1, dtype=U64) * U64(3) + U64(tag << 40))[:, None]
         pairs = np.stack([part[:, 1] * U64(3) + part[:, 2], part[:, 0] * U64(3) + part[:, 2], part[:, 0] * U64(3) + part[:, 1]], 1)
-        out.append(mix(pairs + mix(where + np.arange(3, dtype=U64))).ravel())
+        sig = mix(pairs + mix(where + np.arange(3, dtype=U64))).ravel()
+        empty = np.flatnonzero((count.sum(1, keepdims=True) - count).ravel() == 0)
+        out.append(np.delete(sig, empty))
+        if len(empty) > 2:
+            by_block: dict[int, list[int]] = {}
+            for i in empty.tolist():
+                by_block.setdefault(i // 3 // each, []).append(i)
+            threes = [t for b in by_block.values() for t in combinations(b, 3) if len({i // 3 for i in t}) == 3]
+            if threes:
+                a, b, c = sig[np.array(threes)].T
+                out.append(mix((a * U64(5) + b) * U64(7) + c))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -149,12 +169,18 @@ def _set_rows(n: int):
     return run
 
 
-def _elements(batches):
-    for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            each = [np.frombuffer(x, np.int64) for x in batch.column("set").slice(a, 200).to_pylist()]
-            node = batch.column("node").slice(a, 200).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(node, [len(x) for x in each]))], ["x", "node"])
+def _elements(percent: int):
+    """Shingles of the sets, of a part of the hash range: twice the share of a set that a partner may lack."""
+    top = U64(min((1 << 32) - 1, int((1 << 33) * (100 - percent) / percent)))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 200):
+                each = [x[mix(x) >> U64(32) <= top] for x in (np.frombuffer(x, U64) for x in batch.column("set").slice(a, 200).to_pylist())]
+                node = batch.column("node").slice(a, 200).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(each))), pa.array(np.repeat(node, [len(x) for x in each]))], ["x", "node"])
+
+    return run
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -247,14 +273,19 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     reps = stash(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     signed_rows = known.select("doc_id", "text").mapInArrow(_signature_rows(n, percent), "sig long, node long")
     members = stash(signed_rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long"), "members")
+    del signed_rows
+    release(spark)
     each = members.select("sig", "node").unionAll(members.select("sig", F.col("hub").alias("node")).distinct())
     nodes = each.select(F.col("node").alias("h1")).distinct()
     wanted = reps.join(nodes, "h1").select(F.col("h1").alias("node"), "rep")
     found = stash(known.join(wanted, known.doc_id == wanted.rep).select("node", "rep", "text").mapInArrow(_set_rows(n), f"node long, rep {id_type}, size long, set binary"), "node-sets")
-    # a shingle that one candidate alone has is in no intersection
-    alone = found.mapInArrow(_elements, "x long, node long").groupBy("x").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    release(spark)
+    # a shingle that one candidate alone has is in no intersection; a part of them is enough to tell those that have too many
+    alone = found.mapInArrow(_elements(percent), "x long, node long").groupBy("x").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
     kept = found.select("node", "size").distinct().join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * percent <= F.col("size") * (100 - percent)).select("node").distinct()
     each = stash(each.join(stash(kept, "kept"), "node"), "each")
+    del alone, kept
+    release(spark)
     hubs = each.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("sig", "hub")
     tested = stash(each.join(stash(hubs, "hubs"), "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
     side = lambda x: found.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("set").alias(f"s{x}"))
