@@ -104,6 +104,13 @@ def test_line_dedup_against_brute_force(spark):
     assert d[8] == (2, 1) and d[6] == (1, 0) and len(d) == len(texts)
 
 
+def test_line_dedup_removes_equal_short_lines(spark):
+    df = docs_of(spark, ["a b\n\nfoo", "foo\nbar", " a  b\n\nbaz", "foo", "a c", "a b c d\na b c d"])
+    assert {(r.doc_id, i) for r in lines.removed(df).collect() for i in r.gone} == {(1, 0), (2, 0), (3, 0), (5, 1)}
+    assert {r.doc_id: r.text for r in lines.dedup(df).collect()} == {0: "a b\n\nfoo", 1: "bar", 2: "\nbaz", 4: "a c", 5: "a b c d"}
+    assert {r.doc_id: r.n_removed for r in lines.digests(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
 def test_line_dedup_without_rows_or_ids(spark, empty):
     assert lines.dedup(empty).count() == 0
     df = docs_of(spark, ["a b c d e", "a b c d e"]).withColumn("doc_id", F.lit(None).cast("long"))
