@@ -111,6 +111,26 @@ def test_line_dedup_removes_equal_short_lines(spark):
     assert {r.doc_id: r.n_removed for r in lines.digests(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+def test_line_dedup_bound_grows_with_the_line(spark):
+    r = random.Random(5)
+    texts = []
+    for n in [8, 9, 10, 11, 14, 15, 19, 20, 21, 24, 25, 40, 61, 300] * 3:
+        base = [f"w{r.randrange(400)}" for _ in range(n)]
+        for share in (0, 0.1, 0.19, 0.21, 0.3):
+            w = list(base)
+            for _ in range(round(n * share)):
+                at, kind = r.randrange(len(w)), r.randrange(3)
+                w[at : at + (kind > 0)] = [f"w{r.randrange(400)}"] * (kind < 2)
+            texts.append(" ".join(w))
+    texts += ["the " * 30, "the " * 27 + "a b c", "the " * 20, "p q " * 10, "q p " * 10, "日本 " * 11 + "x", "日本 " * 12]
+    r.shuffle(texts)
+    df = docs_of(spark, ["\n".join(texts[i : i + 3]) for i in range(0, len(texts), 3)])
+    split = [(i // 3, i % 3, t.split()) for i, t in enumerate(texts)]
+    want = {(d, i) for at, (d, i, w) in enumerate(split) if any(w == v or abs(len(w) - len(v)) <= max(len(w), len(v)) // 5 and min(len(w), len(v)) >= 5 and len(set(w) & set(v)) and _edits(w, v) <= max(len(w), len(v)) // 5 for _, _, v in split[:at])}
+    assert len(want) > 60
+    assert {(x.doc_id, i) for x in lines.removed(df).collect() for i in x.gone} == want
+
+
 def test_line_dedup_without_rows_or_ids(spark, empty):
     assert lines.dedup(empty).count() == 0
     df = docs_of(spark, ["a b c d e", "a b c d e"]).withColumn("doc_id", F.lit(None).cast("long"))
