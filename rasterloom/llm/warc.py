@@ -28,8 +28,6 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:x-page:"
 #: Groups of equal payloads that are sent to every executor at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Header bytes that are looked through for the end of a record's header.
-_HEADER = 1 << 16
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 _FIELD = re.compile(rb"([^\r\n:]+): *([^\r\n]*)\r\n")
 
@@ -83,9 +81,17 @@ def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of version lines, of the blocks they announce and of their successors (-1: no record)."""
     at = [m.start() for m in re.finditer(re.escape(VERSION), content)]
     block, after = [-1] * len(at), [-1] * len(at)
+    end, m = -1, None
     for i, a in enumerate(at):
-        end = content.find(b"\r\n\r\n", a, a + _HEADER)
-        if end > 0 and (m := _LENGTH.search(content, a, end + 2)):
+        # what was found for the candidate before and lies past this one is this one's too, so the content is read once
+        if end < a:
+            end = content.find(b"\r\n\r\n", a)
+            if end < 0:
+                break
+            m = _LENGTH.search(content, a, end + 2)
+        elif m and m.start() < a:
+            m = _LENGTH.search(content, a, end + 2)
+        if m:
             block[i], after[i] = end + 4, min(end + 8 + int(m[1]), 1 << 62)
     return np.array(at, np.int64), np.array(block, np.int64), np.array(after, np.int64)
 

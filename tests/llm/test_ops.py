@@ -77,6 +77,14 @@ def test_warc_chain_rejects_what_no_chain_reaches():
         warc.records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
 
 
+def test_warc_reads_headers_of_any_length(spark, tmp_path):
+    url = "http://x/" + "u" * 200_000
+    pages = spark.createDataFrame([(1, "http://a/", "one"), (2, url, "two"), (3, "http://b/", "three")], "page_id long, url string, html string").coalesce(1)
+    warc.write(pages, str(tmp_path / "w"))
+    rows = warc.read(spark, str(tmp_path / "w"), payload=True).collect()
+    assert sorted((r.page_id, r.url, r.payload.decode()) for r in rows) == [(1, "http://a/", "one"), (2, url, "two"), (3, "http://b/", "three")]
+
+
 # 2 -------------------------------------------------------------------------------------------------------------------------
 
 
