@@ -145,6 +145,8 @@ add("plume_sbmp_reference", lambda s, d: _v(rg.sbmp(*(lambda g: (g(0), "a", "b",
 # backgrounds and matched filters
 _T = np.array([1.0 + 0.5 * np.sin(b) for b in range(6)])
 _arr = lambda s, d: bg.to_arrays(cube(s, d).where("band < 6"), ["pixel", "label"])
+_ALL_T = np.array([1.0 + 0.5 * np.sin(b) for b in range(64)])
+_all = lambda s, d: bg.to_arrays(cube(s, d), ["pixel", "label"])
 
 
 @query("mf_mean_cov", f"with w as (select a.pixel, a.band i, b.band j, a.v x, b.v y from {CUBE} a join {CUBE} b using (pixel) where a.band < 6 and b.band < 6) select i, j, round(covar_samp(x, y), 6) + 0.0 c from w group by 1, 2")
@@ -157,7 +159,7 @@ def mf_mean_cov(spark, sf_dir):
 add("mf_mean", lambda s, d: bg.estimate_mean(cube(s, d), ["band"]).select("band", tidy(F.col("mean")).alias("m")), f"select band, round(avg(v), 6) + 0.0 m from {CUBE} group by 1")
 add("mf_median", lambda s, d: bg.estimate_mean(cube(s, d), ["band"], method="median").select("band", tidy(F.col("mean")).alias("m")), f"select band, round(median(v), 6) + 0.0 m from {CUBE} group by 1")
 add("mf_trimmed_mean", lambda s, d: bg.estimate_mean(cube(s, d), ["band"], method="trimmed", trim=0.1).select("band", tidy(F.col("mean")).alias("m")), f"select band, round(avg(v), 6) + 0.0 m from (select *, row_number() over (partition by band order by v) r, count(*) over (partition by band) n from {CUBE}) where r > floor(n * 0.1) and r <= n - floor(n * 0.1) group by 1")
-add("mf_huber_mean", lambda s, d: bg.huber_mean(cube(s, d).where("band < 4"), ["band"]).select("band", tidy(F.col("mean")).alias("m")))
+add("mf_huber_mean", lambda s, d: bg.huber_mean(cube(s, d), ["band"]).select("band", tidy(F.col("mean")).alias("m")))
 
 
 @query("mf_score", "WEIGHTS")
@@ -175,6 +177,6 @@ def _score_sql():
 from . import registry as _registry  # noqa: E402
 
 _registry._SQL["mf_score"] = _score_sql()
-add("mf_matched_filter", lambda s, d: bg.MatchedFilter(_T)(_arr(s, d)).select("pixel", tidy(F.col("score")).alias("score")))
-add("mf_cluster_filter", lambda s, d: bg.cluster_filter(_arr(s, d), _T).select("pixel", "label", tidy(F.col("score")).alias("score")))
-add("mf_pca_scores", lambda s, d: _arr(s, d).select("pixel", F.transform(bg.project(F.col("bands"), *bg.pca(_arr(s, d), 6, 2)), lambda v: F.round(v, 6)).alias("scores")))
+add("mf_matched_filter", lambda s, d: bg.MatchedFilter(_ALL_T)(_all(s, d)).select("pixel", tidy(F.col("score")).alias("score")))
+add("mf_cluster_filter", lambda s, d: bg.cluster_filter(_all(s, d), _ALL_T).select("pixel", "label", tidy(F.col("score")).alias("score")))
+add("mf_pca_scores", lambda s, d: _all(s, d).select("pixel", F.transform(bg.project(F.col("bands"), *bg.pca(_all(s, d), 64, 2)), lambda v: F.round(v, 6)).alias("scores")))

@@ -287,3 +287,35 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["convert", str(tmp_path / "c"), "--out", str(tmp_path / "d"), "--partition-by", "year"]) == 0
     assert cli.main(["info", str(tmp_path / "d")]) == 0 and cli.main(["stats", str(tmp_path / "d")]) == 0
     assert cli.main(["migrate", str(tmp_path / "c"), "--out", str(tmp_path / "e"), "--to-version", "9"]) == 2
+
+
+def test_spectra_queries_use_all_bands(spark):
+    from rasterloom.operators import background as bg
+    from rasterloom.plans import registry
+
+    sf, run = "/root/testdata/sf0.001", registry.queries()
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()
+    x, label = np.array([r.embedding for r in rows], float), np.array([r.label for r in rows])
+    target, mean = 1.0 + 0.5 * np.sin(np.arange(64)), x.mean(0)
+    cov = np.cov(x.T)
+    spread, q = np.linalg.eigh(cov)
+    q = q[:, ::-1][:, :2]
+    want = (x - mean) @ (q * np.sign(q[np.abs(q).argmax(0), [0, 1]]))
+    got = {r.pixel: r.scores for r in run["mf_pca_scores"](spark, sf).collect()}
+    assert np.allclose([got[r.vec_id] for r in rows], want, atol=1e-5)
+
+    def score(x, cov, own):
+        w = np.linalg.solve(cov, target)
+        return (x - own) @ w / (target @ w)
+
+    got = {r.pixel: r.score for r in run["mf_matched_filter"](spark, sf).collect()}
+    assert np.allclose([got[r.vec_id] for r in rows], score(x, bg.shrink_covariance(cov, len(x), "oas"), mean), atol=1e-5)
+    assert {r.band for r in run["mf_huber_mean"](spark, sf).collect()} == set(range(64))
+    got = {r.pixel: r.score for r in run["mf_cluster_filter"](spark, sf).collect()}
+    want = {}
+    for k in set(label):
+        own = x[label == k]
+        within = np.cov(own.T) + 1e-3 * np.eye(64)
+        want |= dict(zip([r.vec_id for r in rows if r.label == k], score(own, within, own.mean(0)), strict=True))
+    assert set(got) == set(want)
+    assert all(abs(got[k] - v) <= 1e-5 for k, v in want.items())
