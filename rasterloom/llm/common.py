@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..checkpoints import release, scratch, stash  # noqa: F401
+from ..checkpoints import drop, scratch, stash  # noqa: F401
 
 U64 = np.uint64
 #: Text bytes that are turned into hashes at a time; a longer document is a piece of its own.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import LOWER, NOT_BLANK, U64, Words, mix, pieces, release, signed, stash
+from .common import LOWER, NOT_BLANK, U64, Words, drop, mix, pieces, signed, stash
 
 #: Shingles and documents of a block of a cluster.
 BLOCK_SHINGLES, BLOCK_DOCS = 1 << 21, 2048
@@ -274,18 +274,15 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     signed_rows = known.select("doc_id", "text").mapInArrow(_signature_rows(n, percent), "sig long, node long")
     members = stash(signed_rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long"), "members")
     del signed_rows
-    release(spark)
     each = members.select("sig", "node").unionAll(members.select("sig", F.col("hub").alias("node")).distinct())
     nodes = each.select(F.col("node").alias("h1")).distinct()
     wanted = reps.join(nodes, "h1").select(F.col("h1").alias("node"), "rep")
     found = stash(known.join(wanted, known.doc_id == wanted.rep).select("node", "rep", "text").mapInArrow(_set_rows(n), f"node long, rep {id_type}, size long, set binary"), "node-sets")
-    release(spark)
     # a shingle that one candidate alone has is in no intersection; a part of them is enough to tell those that have too many
     alone = found.mapInArrow(_elements(percent), "x long, node long").groupBy("x").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
     kept = found.select("node", "size").distinct().join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * percent <= F.col("size") * (100 - percent)).select("node").distinct()
     each = stash(each.join(stash(kept, "kept"), "node"), "each")
     del alone, kept
-    release(spark)
     hubs = each.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("sig", "hub")
     tested = stash(each.join(stash(hubs, "hubs"), "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
     side = lambda x: found.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("set").alias(f"s{x}"))

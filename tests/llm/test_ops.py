@@ -119,26 +119,91 @@ def test_line_dedup_removes_equal_short_lines(spark):
     assert {r.doc_id: r.n_removed for r in lines.digests(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+def _line_variants(w):
+    """(variant, whether it is the line itself) of a line's words, written out as the operator's docstring has it."""
+    n, out = len(w), []
+    if 5 <= n <= 9:
+        out.append((("untagged", *w), True))
+        for i in range(n):
+            out += [(("tagged", i, n, *w[:i], *w[i + 1 :]), False), (("untagged", *w[:i], *w[i + 1 :]), False)]
+    for m in (4, 8, 16, 32):
+        if n >= 8 and (m == 4 or n + n // 4 >= 5 * m) and (m == 32 or n < 10 * m):
+            of = [(ord(x[0]) * 7 + ord(x[-1]) * 31 + len(x.encode()) * 13 + (ord(x[1]) * 17 if len(x) > 1 else 0)) % m for x in w]
+            for t in range(m):
+                rest = [x for x, c in zip(w, of, strict=True) if c == t]
+                if len(rest) > 1:
+                    out.append((("class", m, t, *rest), False))
+    return out
+
+
+def _near_lines(split):
+    """Places of lines (place, words), in order, that go."""
+    entries = {}
+    for at, w in split:
+        entries.setdefault(tuple(w), at)
+    words = {at: w for w, at in entries.items()}
+    early, itself = {}, {}
+    for w, at in entries.items():
+        for v, whole in _line_variants(w):
+            early.setdefault(v, at)
+            if whole:
+                itself.setdefault(v, at)
+    near = set()
+    for w, at in entries.items():
+        for v, _ in _line_variants(w):
+            for other in {early[v], itself.get(v, at)}:
+                bound = max(len(w), len(words[other])) // 5
+                if other < at and min(len(w), len(words[other])) >= 5 and _edits(w, words[other]) <= bound:
+                    near.add(w)
+    return {at for at, w in split if tuple(w) in near or entries[tuple(w)] < at}
+
+
 def test_line_dedup_bound_grows_with_the_line(spark):
     r = random.Random(5)
+    voc = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(1, 9))) for _ in range(600)]
     texts = []
-    for n in [8, 9, 10, 11, 14, 15, 19, 20, 21, 24, 25, 40, 61, 300] * 3:
-        base = [f"w{r.randrange(400)}" for _ in range(n)]
-        for share in (0, 0.1, 0.19, 0.21, 0.3):
+    for n in [8, 9, 10, 11, 14, 15, 19, 20, 21, 24, 25, 32, 40, 61, 64, 79, 80, 130, 300] * 3:
+        base = [r.choice(voc) for _ in range(n)]
+        for share in (0, 0.03, 0.1, 0.19, 0.21, 0.3):
             w = list(base)
             for _ in range(round(n * share)):
                 at, kind = r.randrange(len(w)), r.randrange(3)
-                w[at : at + (kind > 0)] = [f"w{r.randrange(400)}"] * (kind < 2)
+                w[at : at + (kind > 0)] = [r.choice(voc)] * (kind < 2)
             texts.append(" ".join(w))
     texts += ["the " * 30, "the " * 27 + "a b c", "the " * 20, "p q " * 10, "q p " * 10, "日本 " * 11 + "x", "日本 " * 12]
     r.shuffle(texts)
     df = docs_of(spark, ["\n".join(texts[i : i + 3]) for i in range(0, len(texts), 3)])
-    split = [(i // 3, i % 3, t.split()) for i, t in enumerate(texts)]
-    want = {(d, i) for at, (d, i, w) in enumerate(split) if any(w == v or abs(len(w) - len(v)) <= max(len(w), len(v)) // 5 and min(len(w), len(v)) >= 5 and len(set(w) & set(v)) and _edits(w, v) <= max(len(w), len(v)) // 5 for _, _, v in split[:at])}
-    assert len(want) > 60
+    want = _near_lines([((i // 3, i % 3), t.split()) for i, t in enumerate(texts)])
+    assert len(want) > 100
     assert {(x.doc_id, i) for x in lines.removed(df).collect() for i in x.gone} == want
 
 
+def test_line_dedup_finds_all_lines_of_few_edits(spark):
+    """Of lines with an untouched class, all at most (classes - 1) / 2 edits from the first one go, however they were edited."""
+    r = random.Random(6)
+    voc = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    texts, edits = [], {12: 1, 30: 1, 50: 3, 75: 3, 100: 7, 150: 7, 200: 15, 400: 15}
+    for n, most in edits.items():
+        base = [r.choice(voc) for _ in range(n)]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            w = list(base)
+            for _ in range(most):
+                at, kind = r.randrange(len(w)), r.randrange(3)
+                w[at : at + (kind > 0)] = [r.choice(voc)] * (kind < 2)
+            texts.append(" ".join(w))
+    assert {r.doc_id for r in lines.removed(docs_of(spark, texts)).collect()} == {i for i in range(len(texts)) if i % 7}
+
+
+def test_line_dedup_keeps_all_columns_and_takes_long_lines(spark):
+    t = " ".join(f"word{i}" for i in range(20_000))
+    rows = [(1, t, "a", "b", "c", "d", "e"), (2, t + " more", "a", "b", "c", "d", "e"), (2, "x y", "p", "q", "r", "s", "t"), (2, "x y", "p", "q", "r", "s", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string, gone_own string, gone_id string, Gone_text string, `a.b` string")
+    got = lines.dedup(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(tuple(x)[2:] + (tuple(x)[1][:3],) for x in got.collect()) == [("a", "b", "c", "d", "e", "wor"), ("p", "q", "r", "s", "t", "x y"), ("p", "q", "r", "s", "t", "x y")]
+
+
 def test_line_dedup_without_rows_or_ids(spark, empty):
     assert lines.dedup(empty).count() == 0
     df = docs_of(spark, ["a b c d e", "a b c d e"]).withColumn("doc_id", F.lit(None).cast("long"))

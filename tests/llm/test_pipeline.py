@@ -21,7 +21,7 @@ def steps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [docs]
     for name, stage in corpus_pipeline.STAGES:
-        out.append(stash(stage(spark, out[-1], str(SF)), name.replace(" ", "-"), keep=True))
+        out.append(stash(stage(spark, out[-1], str(SF)), name.replace(" ", "-")))
     return out
 
 
