@@ -1,13 +1,14 @@
 """WARC: writing archives with revisit records, and reading them by boundary-chain verification.
 
-Reading: within an archive every occurrence of the version line is a candidate, of which the
-header gives the successor's offset.  Pointer jumping from the file's start (each round doubles
-the distance every pointer spans) retains the candidates that a chain of records reaches; the
-version line inside a payload is never reached.  An archive is one file and one row for
-Spark; write() makes one for each input partition, of at most `records` records.
-
-Spark's text writer and binary reader do the input and output, so that archives may lie in any
-store that Spark reaches.
+Reading: archives are read in byte ranges, cut at the version line by Spark's text reader, so the tasks' pieces begin
+behind every occurrence of it.  Tasks emit a candidate for each piece: its offset and, from the header, its successor's.
+Ranges add up their bytes, which gives offsets in the file.  Pointer jumping from the file's start over the table of
+candidates (each round doubles the distance every pointer spans) retains those that a chain of records reaches; the
+version line inside a payload is never reached.  Pieces that are not reached belong to the record before them, and
+only records of several pieces are put together, by a second look at the archives.
+
+Spark's text writer and reader do the input and output, so that archives may lie in any store that Spark reaches,
+and may be of any size; a record must fit into a task.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import stash
+from .common import PIECE_BYTES, stash
 
 VERSION = b"WARC/1.1\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -30,21 +32,28 @@ _URN = "urn:x-page:"
 BROADCAST_ROWS = 100_000
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.I)
 _FIELD = re.compile(rb"([^\r\n:]+): *([^\r\n]*)\r\n")
+#: Tasks among which the copies of a payload are dealt out where groups are joined by a shuffle.
+SALT = 16
 
 
 def typed(pages: DataFrame, *, least: int = 1000) -> DataFrame:
     """`pages` (page_id, url, html) with payload_bytes, payload_digest (SHA-1 in hexadecimal), record_type and refers_to.
 
-    Of rows with equal payloads of at least `least` bytes those with the largest page_id are
-    responses and the others, also those without page_id, revisit it; all else is a response.
+    Of rows with equal payloads of at least `least` bytes those with the largest page_id (all of them, where it is
+    repeated) are responses and the others, also those without page_id, revisit it; all else is a response.
+    Other columns of the input, whatever their names, are left out; an empty table gives an empty one.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"))
     groups = rows.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
     groups = stash(groups.agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1 and _last is not null").drop("_n"), "groups")
+    same = (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
     if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    rows = rows.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
+        rows = rows.join(F.broadcast(groups), same, "left")
+    else:
+        # the texts of one payload's copies go to several tasks
+        groups = groups.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("_from", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(groups, same & (F.col("_from") == F.col("_to")), "left")
     again = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return rows.select(*rows.columns[:5], F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_last")).alias("refers_to"))
 
@@ -64,7 +73,8 @@ def write(pages: DataFrame, path: str, *, least: int = 1000, date: str = "2000-0
         _line("WARC-Type", F.col("record_type")),
         _line("WARC-Record-ID", urn("page_id")),
         _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", F.regexp_replace("url", "[\\r\\n]", "")),
+        # in brackets, so that no header line ends like the version line
+        _line("WARC-Target-URI", F.concat(F.lit("<"), F.regexp_replace("url", "[\\r\\n]", ""), F.lit(">"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("WARC-Refers-To", urn("refers_to")),
         _line("WARC-Profile", F.when(revisit, F.lit(_PROFILE))),
@@ -77,25 +87,6 @@ def write(pages: DataFrame, path: str, *, least: int = 1000, date: str = "2000-0
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
 
 
-def candidates(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of version lines, of the blocks they announce and of their successors (-1: no record)."""
-    at = [m.start() for m in re.finditer(re.escape(VERSION), content)]
-    block, after = [-1] * len(at), [-1] * len(at)
-    end, m = -1, None
-    for i, a in enumerate(at):
-        # what was found for the candidate before and lies past this one is this one's too, so the content is read once
-        if end < a:
-            end = content.find(b"\r\n\r\n", a)
-            if end < 0:
-                break
-            m = _LENGTH.search(content, a, end + 2)
-        elif m and m.start() < a:
-            m = _LENGTH.search(content, a, end + 2)
-        if m:
-            block[i], after[i] = end + 4, min(end + 8 + int(m[1]), 1 << 62)
-    return np.array(at, np.int64), np.array(block, np.int64), np.array(after, np.int64)
-
-
 def chain(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     """The candidates that the chain from the file's start reaches, by pointer jumping."""
     n = len(at)
@@ -111,51 +102,134 @@ def chain(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.flatnonzero(reached[:n])
 
 
-def records(content: bytes) -> list[dict]:
-    """The records of an archive; bytes that no record covers are an error."""
-    at, block, after = candidates(content)
-    kept = chain(at, after)
-    if content and (not len(kept) or after[kept[-1]] != len(content)):
-        raise ValueError("the archive's chain of records does not end at its end")
-    out = []
-    for i in kept.tolist():
-        fields = {k.lower(): v for k, v in _FIELD.findall(content, int(at[i]) + len(VERSION), int(block[i]) - 2)}
-        body = content[block[i] : after[i] - 4]
-        head = body.find(b"\r\n\r\n")
-        out.append({"fields": fields, "payload": body[head + 4 :]})
-    return out
-
-
 def _page(urn: bytes | None) -> int | None:
     return int(urn[len(_URN) + 1 : -1]) if urn else None
 
 
+def _header(record: bytes) -> tuple[int, int] | None:
+    """(the header's end, the block's length) of what follows the version line; None where that is no header."""
+    end = record.find(b"\r\n\r\n")
+    m = _LENGTH.search(b"\r\n" + record[: end + 2]) if end >= 0 else None
+    return (end + 4, int(m[1])) if m else None
+
+
+def _record(record: bytes, head: int, length: int) -> tuple:
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of a whole record."""
+    f = {k.lower(): v for k, v in _FIELD.findall(record, 0, head - 2)}
+    body = record[head : head + length]
+    http = body.find(b"\r\n\r\n") if body.startswith(b"HTTP/") else -4
+    payload, kind = body[http + 4 :] if http != -1 else b"", f.get(b"warc-type", b"").decode()
+    if kind == "revisit":
+        size, digest, payload = int(f[b"x-payload-length"]), f[b"warc-payload-digest"].decode().partition(":")[2], None
+    else:
+        size, digest = len(payload), hashlib.sha1(payload).hexdigest()
+    url = f.get(b"warc-target-uri")
+    return _page(f.get(b"warc-record-id")), None if url is None else url.decode().removeprefix("<").removesuffix(">"), size, digest, kind, _page(f.get(b"warc-refers-to")), payload
+
+
+_FIELDS = (("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()))
+_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_PLACE = (("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("local", pa.int64()), ("size", pa.int64()), ("reach", pa.int64()))
+_PLACES = "file string, block long, seq long, local long, size long, reach long"
+
+
+def _batch(rows: list[tuple], fields: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, piece): what lies between version lines, in order within the byte range that begins at block."""
+    text = spark.read.option("lineSep", VERSION.decode()).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+
+
+def _numbered(batches):
+    """(file, block, number in the range, offset in the range, piece) of pieces as they pass."""
+    now, seq, local = None, 0, 0
+    for batch in batches:
+        for file, block, piece in zip(*(batch.column(c) for c in ("file", "block", "piece")), strict=True):
+            key, raw = (file.as_py(), block.as_py()), piece.as_py()
+            if key != now:
+                now, seq, local = key, 0, 0
+            yield *key, seq, local, raw
+            seq, local = seq + 1, local + len(raw) + len(VERSION)
+
+
+def _candidate_rows(batches):
+    """A row for each piece: its place and size, how far its record reaches from the piece's start (null: no header), and what the record says if it ends in the piece."""
+    rows = []
+    for file, block, seq, local, raw in _numbered(batches):
+        own = _header(raw)
+        reach = sum(own) + 4 if own else None
+        whole = own is not None and reach == len(raw)
+        rows.append((file, block, seq, local, len(raw), reach, *(_record(raw, *own)[:6] if whole else (None,) * 6)))
+        if len(rows) == 2000:
+            yield _batch(rows, _PLACE + _FIELDS)
+            rows = []
+    if rows:
+        yield _batch(rows, _PLACE + _FIELDS)
+
+
+def _chained(table: pa.Table) -> pa.Table:
+    """Of one file's candidates (file, at, after, end): (file, at, owner), the owner being the reached candidate a piece belongs to."""
+    at, after, end = (table.column(c).to_numpy() for c in ("at", "after", "end"))
+    order = np.argsort(at)
+    at, after, end = at[order], after[order], end[order]
+    kept = chain(at, after)
+    if not len(kept) or after[kept[-1]] != end[-1]:
+        raise ValueError("the archive's chain of records does not end at its end")
+    reached = np.zeros(len(at), np.int64)
+    reached[kept[1:]] = 1
+    return pa.table({"file": pa.array([table.column("file")[0].as_py()] * len(at)), "at": at, "owner": at[kept][np.cumsum(reached)]})
+
+
 def read(spark: SparkSession, path: str, *, payload: bool = False) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of all records of archives written by write().
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of all records of the archives.
 
-    A response's length and digest come from its payload, a revisit's from its header.
+    A response's length and digest come from its payload, a revisit's from its header.  An archive of which the
+    chain of records does not end at its end is an error; an empty one has no records.
     """
-
-    def run(batches):
-        for batch in batches:
-            for content in batch.column("content"):
-                found = records(content.as_py())
-                rows = []
-                for r in found:
-                    f, kind = r["fields"], r["fields"][b"warc-type"].decode()
-                    if kind == "response":
-                        size, digest = len(r["payload"]), hashlib.sha1(r["payload"]).hexdigest()
-                    else:
-                        size, digest = int(f[b"x-payload-length"]), f[b"warc-payload-digest"].decode().partition(":")[2]
-                    url = f.get(b"warc-target-uri")
-                    rows.append((_page(f.get(b"warc-record-id")), None if url is None else url.decode(), size, digest, kind, _page(f.get(b"warc-refers-to"))) + ((r["payload"] if kind == "response" else None,) if payload else ()))
-                for i in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000], strict=True), types, strict=False)], names)
-
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+    found = stash(_pieces(spark, path).mapInArrow(_candidate_rows, f"{_PLACES}, {_SCHEMA}"), "candidates")
+    # a row for each byte range
+    ranges = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(VERSION)).alias("bytes"))
+    ranges = ranges.select("file", "block", (F.sum("bytes").over(W.partitionBy("file").orderBy("block")) - F.col("bytes")).alias("base"))
+    placed = found.join(ranges, ["file", "block"]).withColumn("start", F.col("base") + F.col("local"))
+    # the first piece of a file lies before its first version line
+    rest = placed.where("start > 0 or size > 0").withColumn("at", F.col("start") - F.when(F.col("start") > 0, len(VERSION)).otherwise(F.lit(0)))
+    chains = rest.select("file", "at", F.coalesce(F.when(F.col("start") > 0, F.col("start") + F.col("reach")), F.lit(-1)).alias("after"), (F.col("start") + F.col("size")).alias("end"))
+    chains = chains.groupBy("file").applyInArrow(_chained, "file string, at long, owner long")
+    owned = stash(rest.join(chains, ["file", "at"]), "owned")
+    parts = owned.groupBy("file", "owner").agg(F.count("*").alias("parts"))
+    several = (parts if payload else parts.where("parts > 1")).select("file", "owner")
+    columns = [n for n, _ in _FIELDS]
+    if payload:
+        alone = None
+    else:
+        alone = owned.join(several, ["file", "owner"], "left_anti").select(*columns)
+        if several.isEmpty():
+            return alone
+    schema, fields = f"{_SCHEMA}, payload binary", (*_PLACE[:3], ("piece", pa.binary()))
+
+    def place(batches):
+        rows, size = [], 0
+        for file, block, seq, _, raw in _numbered(batches):
+            rows.append((file, block, seq, raw))
+            size += len(raw)
+            if size > PIECE_BYTES or len(rows) == 2000:
+                yield _batch(rows, fields)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, fields)
+
+    def put_together(table: pa.Table) -> pa.Table:
+        pieces = [p for _, p in sorted(zip(table.column("at").to_pylist(), table.column("piece").to_pylist(), strict=True))]
+        record = VERSION.join(pieces)
+        return pa.Table.from_batches([_batch([_record(record, *_header(record))], (*_FIELDS, ("payload", pa.binary())))])
+
+    wanted = owned.join(several, ["file", "owner"]).select("file", "block", "seq", "at", "owner")
+    again = _pieces(spark, path).mapInArrow(place, "file string, block long, seq long, piece binary").join(wanted, ["file", "block", "seq"])
+    whole = again.groupBy("file", "owner").applyInArrow(put_together, schema)
+    return whole if payload else alone.unionByName(whole.drop("payload"))
 
 
 SQL = """
