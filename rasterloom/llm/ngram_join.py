@@ -13,10 +13,12 @@ three empty ones.
 
 Equal sets are one node, so copies cost nothing.  A node of which too many shingles are in no
 other candidate cannot have a partner and goes.  The other members of a signature are compared with its
-smallest node, the hub.  Nodes that hubs tie together are a cluster; where the links found leave a
-cluster in several components, its sets are compared in blocks, each pair of blocks in a task
-of its own that returns no more links than it joins components.  So no link that would
-join two components is lost, and no table of pairs is made.
+smallest node, the hub.  A pair that could still join two components of these links shares a signature of three
+members or more that lie in several components; nodes that such signatures tie together are a cluster, and only
+its sets are compared in blocks, each pair of blocks in a task of its own that returns no more links than it joins
+components.  So no link that would join two components is lost, and no table of pairs is made.
+
+A node is named by 64 bits.  Where two sets share a name both are compared, so that a clash adds work and no link.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.components import components
 from .common import LOWER, NOT_BLANK, U64, Words, drop, mix, pieces, signed, stash
@@ -37,8 +40,10 @@ BLOCK_SHINGLES, BLOCK_DOCS = 1 << 21, 2048
 _COLUMNS = 4096
 #: Differing elements that a block of partitions may hold, about.
 SPREAD = 30
-#: Each band's upper end is this many times its lower end.
-BAND = 1.5
+#: Each band's upper end is this many times its lower end; a partner lies in the next band at most from LEAST percent on.
+BAND, LEAST = 1.5, 67
+#: Sets of which a task remembers that it has signed for them.
+_REMEMBER = 1_000_000
 
 
 def bands(most: int) -> list[int]:
@@ -124,6 +129,8 @@ def _signature_rows(n: int, percent: int):
                     name, other = names(s)
                     if (name, other) in seen:
                         continue
+                    if len(seen) >= _REMEMBER:
+                        seen.clear()
                     seen.add((name, other))
                     x = signatures(s, percent)
                     sig.append(x)
@@ -169,7 +176,7 @@ def _set_rows(n: int):
     return run
 
 
-def _elements(percent: int):
+def _elements(percent: int, kind: pa.DataType):
     """Shingles of the sets, of a part of the hash range: twice the share of a set that a partner may lack."""
     top = U64(min((1 << 32) - 1, int((1 << 33) * (100 - percent) / percent)))
 
@@ -177,8 +184,8 @@ def _elements(percent: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 each = [x[mix(x) >> U64(32) <= top] for x in (np.frombuffer(x, U64) for x in batch.column("set").slice(a, 200).to_pylist())]
-                node = batch.column("node").slice(a, 200).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(each))), pa.array(np.repeat(node, [len(x) for x in each]))], ["x", "node"])
+                own = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(each))), batch.column("rep").slice(a, 200).take(pa.array(own)).cast(kind)], ["x", "rep"])
 
     return run
 
@@ -264,7 +271,8 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     words are linked with nothing.  A row without doc_id links with nothing, and its component_id is null;
     rows that repeat a doc_id are documents that happen to share it.  Other columns are ignored.
     """
-    spark = docs.sparkSession
+    if percent < LEAST:
+        raise ValueError(f"signatures are made for similarities of {LEAST} percent or more")
     docs = docs.select("doc_id", "text")
     id_type = dict(docs.dtypes)["doc_id"]
     rows = stash(docs.mapInArrow(_name_rows(n), f"doc_id {id_type}, n_shingles long, h1 long, h2 long"), "sets")
@@ -273,32 +281,39 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     reps = stash(rows.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     signed_rows = known.select("doc_id", "text").mapInArrow(_signature_rows(n, percent), "sig long, node long")
     members = stash(signed_rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_stars, "sig long, hub long, node long"), "members")
-    del signed_rows
-    each = members.select("sig", "node").unionAll(members.select("sig", F.col("hub").alias("node")).distinct())
-    nodes = each.select(F.col("node").alias("h1")).distinct()
-    wanted = reps.join(nodes, "h1").select(F.col("h1").alias("node"), "rep")
+    all_ = members.select("sig", "node").unionAll(members.select("sig", F.col("hub").alias("node")).distinct())
+    wanted = reps.join(all_.select(F.col("node").alias("h1")).distinct(), "h1").select(F.col("h1").alias("node"), "rep")
     found = stash(known.join(wanted, known.doc_id == wanted.rep).select("node", "rep", "text").mapInArrow(_set_rows(n), f"node long, rep {id_type}, size long, set binary"), "node-sets")
+    kind = to_arrow_type(docs.schema["doc_id"].dataType)
     # a shingle that one candidate alone has is in no intersection; a part of them is enough to tell those that have too many
-    alone = found.mapInArrow(_elements(percent), "x long, node long").groupBy("x").agg(F.count("*").alias("many"), F.min("node").alias("node")).where("many = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    kept = found.select("node", "size").distinct().join(alone, "node", "left").where(F.coalesce("alone", F.lit(0)) * percent <= F.col("size") * (100 - percent)).select("node").distinct()
-    each = stash(each.join(stash(kept, "kept"), "node"), "each")
-    del alone, kept
+    alone = found.mapInArrow(_elements(percent, kind), f"x long, rep {id_type}").groupBy("x").agg(F.count("*").alias("many"), F.min("rep").alias("rep")).where("many = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    kept = found.select("node", "rep", "size").join(alone, "rep", "left").where(F.coalesce("alone", F.lit(0)) * percent <= F.col("size") * (100 - percent)).select("node").distinct()
+    kept = stash(kept, "kept")
+    each = stash(all_.join(kept, "node"), "each")
+    drop(members, kept)
     hubs = each.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").select("sig", "hub")
-    tested = stash(each.join(stash(hubs, "hubs"), "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
+    tested = stash(each.join(hubs, "sig").where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "tested")
     side = lambda x: found.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("set").alias(f"s{x}"))
     links = stash(tested.join(side("a"), "a").join(side("b"), "b").select("ra", "sa", "rb", "sb").mapInArrow(_verify(percent), f"a {id_type}, b {id_type}"), "links")
+    drop(tested)
     of = stash(components(links), "components")
-    # clusters that the links leave in several components
-    placed = components(tested).join(found.select("node", "rep", "size"), "node").join(of.withColumnRenamed("node", "rep").withColumnRenamed("component", "comp"), "rep", "left")
-    placed = stash(placed.select(F.col("component").alias("cluster"), "node", "rep", "size", F.coalesce("comp", "rep").alias("comp")), "placed")
-    several = placed.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.sum("size").alias("shingles")).where("lo <> hi and many > 2")
-    several = stash(several.select("cluster", F.greatest(F.ceil(F.col("many") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks")), "several")
-    if not several.isEmpty():
-        dealt = placed.join(several, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # clusters of signatures that the links leave in several components
+    placed = found.select("node", "rep", "size").join(of.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = stash(placed.select("node", "rep", "size", F.coalesce("component", "rep").alias("comp")), "placed")
+    torn = each.join(placed.select("node", "comp"), "node").groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("a"), F.count("*").alias("many"))
+    torn = torn.where("lo <> hi and many > 2").select("sig", "a")
+    ties = stash(each.join(torn, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "ties")
+    if not ties.isEmpty():
+        clusters = stash(placed.join(components(ties).withColumnRenamed("component", "cluster"), "node"), "clusters")
+        several = clusters.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("size").alias("shingles"))
+        several = several.select("cluster", F.greatest(F.ceil(F.col("many") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+        dealt = clusters.join(several, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", "node", "rep", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         dealt = dealt.join(found.select("node", "rep", "set"), ["node", "rep"])
-        kind = dealt.limit(0).select("rep").toArrow().schema.field("rep").type
-        of = components(links.unionAll(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_rows(percent, kind), f"a {id_type}, b {id_type}")))
+        more = stash(dealt.groupBy("cluster", "i", "j").applyInArrow(_block_rows(percent, kind), f"a {id_type}, b {id_type}"), "more-links")
+        of = stash(components(links.unionAll(more)), "components")
+        drop(clusters, more)
+    drop(each, found, placed, ties, links)
     of = of.select(F.col("node").alias("rep"), "component")
     named = rows.join(reps, ["h1", "h2", "n_shingles"], "left").join(of, "rep", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -308,10 +323,13 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
 def one_of_each(docs: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents but those whose component has a smaller doc_id; of equal rows of the smallest doc_id all stay.
 
-    Rows without doc_id and texts without words stay.
+    Rows without doc_id and texts without words stay, an empty table stays empty, and so do other columns, whatever their names.
     """
-    of = classes(docs, n=n, percent=percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(of, docs.doc_id == F.col("_gone"), "left_anti")
+    name = "gone"
+    while name in (c.lower() for c in docs.columns):
+        name = "_" + name
+    of = classes(docs, n=n, percent=percent).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(of, F.col("doc_id") == F.col(name), "left_anti")
 
 
 SQL = """
