@@ -5,7 +5,8 @@ i (none: infinity) together with i, and every inner node the smaller of its two
 leftmost pair of the lowest rank.  A merge changes three leaves (the merged pair's, its right part's
 and its left neighbour's) and the paths above them; neighbours are kept in linked
 lists of the live positions.  Trees of many pieces of about the same length are worked on together, as rows
-of numpy arrays.
+of numpy arrays; a long piece that has no such company has its tree to itself, so that a merge costs some
+twenty steps and a megabyte without blanks seconds.
 
 Pieces repeat, so a worker keeps the ids of those it has met; that is a cache and bounded.
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,10 @@ _NONE = np.int64(1 << 62)
 _LOW = np.int64((1 << 32) - 1)
 #: Pieces a worker remembers at most.
 REMEMBER = 400_000
-#: Trees that are worked on together at most, in leaves.
-_LEAVES = 1 << 18
+#: Bytes of pieces that a worker remembers at most.
+REMEMBER_BYTES = 1 << 26
+#: Trees that are worked on together at most, in leaves; of these many leaves, and fewer rows, a tree is worked on alone.
+_LEAVES, _LONG, _ROWS = 1 << 18, 256, 24
 #: White space as the tiktoken library's patterns see it.
 _WHITE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -95,6 +100,7 @@ class Encoder:
 
     def _forget(self):
         self.known: dict[str, int] = {}
+        self.bytes_known = 0
         self.start, self.length, self.flat, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def merge(self, words: list[bytes], leaves: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,6 +147,56 @@ class Encoder:
             rows = rows[tree[rows, 1] < _NONE]
         return ids[:, :m][live], live.sum(1)
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word, as merge()."""
+        m, pairs, none = 1 << (len(word) - 1).bit_length(), self.pair_ranks, int(_NONE)
+        first = self.bytes[np.frombuffer(word, np.uint8)]
+        leaves = np.full(m, _NONE)
+        leaves[: len(word)] = self.pairs.leaf(first, np.append(first[1:], -1), np.arange(len(word)))
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).min(1))
+        tree = array("q", np.concatenate([[_NONE], *levels[::-1]]).tobytes())
+        ids, live = array("q", first.tobytes()), np.ones(len(word), bool)
+        end = len(word)
+        after, before = array("q", range(1, end + 1)), array("q", range(-1, end - 1))
+
+        def put(place: int, value: int) -> None:
+            p = m + place
+            tree[p] = value
+            while p > 1:
+                p >>= 1
+                a, b = tree[2 * p], tree[2 * p + 1]
+                least = a if a < b else b
+                if tree[p] == least:
+                    break
+                tree[p] = least
+
+        while tree[1] < none:
+            top = tree[1]
+            i = top & 0xFFFFFFFF
+            j = after[i]
+            k = after[j]
+            ids[i] = top >> 32
+            live[j] = False
+            after[i] = k
+            put(j, none)
+            rank = none
+            if k < end:
+                before[k] = i
+                rank = pairs.get(ids[i] << 32 | ids[k], -1)
+            put(i, rank << 32 | i if 0 <= rank < none else none)
+            p = before[i]
+            if p >= 0:
+                rank = pairs.get(ids[p] << 32 | ids[i], -1)
+                put(p, rank << 32 | p if rank >= 0 else none)
+        return np.frombuffer(ids, np.int64)[live]
+
+    @cached_property
+    def pair_ranks(self) -> dict[int, int]:
+        there = self.pairs.keys >= 0
+        return dict(zip(self.pairs.keys[there].tolist(), self.pairs.values[there].tolist(), strict=True))
+
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
         groups: dict[int, list[int]] = {}
@@ -155,6 +211,10 @@ class Encoder:
             done.append((whole, np.array([self.ranks[raw[i]] for i in whole]), np.ones(len(whole), np.int64)))
         for m, members in groups.items():
             step = max(1, _LEAVES // m)
+            if m >= _LONG and len(members) < _ROWS:
+                each = [self.merge_long(raw[i]) for i in members]
+                done.append((members, np.concatenate(each), np.array([len(x) for x in each])))
+                continue
             for a in range(0, len(members), step):
                 part = members[a : a + step]
                 done.append((part, *self.merge([raw[i] for i in part], m)))
@@ -168,6 +228,7 @@ class Encoder:
             self.start[at : at + len(members)] = self.size + np.cumsum(count) - count
             self.length[at : at + len(members)] = count
             self.size += len(ids)
+            self.bytes_known += sum(len(raw[i]) for i in members)
             self.known.update(zip((words[i] for i in members), range(at, at + len(members)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +237,7 @@ class Encoder:
         each = [find(t) for t in texts]
         flat = [w for ws in each for w in ws]
         bounds = np.cumsum([0, *map(len, each)])
-        if len(self.known) > REMEMBER:
+        if len(self.known) > REMEMBER or self.bytes_known > REMEMBER_BYTES:
             self._forget()
         if new := set(flat).difference(self.known):
             self._learn(list(new))
