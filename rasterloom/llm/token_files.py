@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import PIECE_BYTES, pieces
 
 BLOCK = 128
 PERCENT = 90
 SEGMENT = 1 << 21
+#: Segments of a file at most, so that files stay well below the 2 GB that a row can hold.
+SEGMENTS = 100
 MAGIC = b"PFORIDS1"
 #: Chunks of text between blanks that a worker remembers at most.
 REMEMBER = 400_000
@@ -230,7 +232,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end: int = 1) ->
             return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], ["content"])
 
         for batch in batches:
-            for row, to, data, offsets in pieces(batch, "text"):
+            for row, to, data, offsets in pieces(batch, "text", min(PIECE_BYTES, SEGMENT)):
                 x, n = t.encode([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], end)
                 doc_ids += batch.column("doc_id").slice(row, to - row).to_pylist()
                 ids.append(x)
@@ -245,7 +247,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, *, end: int = 1) ->
     order = F.col("doc_id").asc_nulls_first()
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, order).sortWithinPartitions(order, F.col("text").asc_nulls_first())
     # the text writer puts a value's bytes and a line feed
-    dealt.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value")).write.text(path)
+    dealt.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -269,6 +271,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return _with_starts(rows)
 
 
+def ids_of(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents of these doc_ids, ids in the order of the file.
+
+    The index gives the blocks that a document's ids lie in, and only these are unpacked.  The list goes to every task.
+    """
+    wanted = set(doc_ids)
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                for _, _, own, counts, p in segments(content.as_py()):
+                    ends = np.cumsum(counts)
+                    hit = [k for k, d in enumerate(own) if d in wanted]
+                    got = []
+                    for k in hit:
+                        a, b = int(ends[k] - counts[k]), int(ends[k])
+                        first, last = a // BLOCK, -(-b // BLOCK)
+                        got.append(unpack(p, first, last)[a - first * BLOCK : b - first * BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in hit], pa.int64()), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def _with_starts(rows: DataFrame) -> DataFrame:
     from .common import stash
 
