@@ -22,6 +22,8 @@ from .common import LOWER, NOT_BLANK, U64, Words, mix, pieces
 PASSAGE = 100
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 6000
+#: Passages of a document that the fit takes at most, evenly spread; scores take all.
+PASSAGES = 40
 #: Buckets that words are hashed into.
 BUCKETS = 64
 HIDDEN, GATE = 24, 12
@@ -133,7 +135,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model | None:
     """A model from labels (doc_id, quality) of documents that are not held out; None without labelled documents.
 
-    Null labels and rows without doc_id are left out; of a doc_id with several labels the largest counts.
+    Null labels and rows without doc_id are left out; of a doc_id with several labels the largest counts, and of one with
+    several texts the smallest, so that the driver receives `sample` documents of PASSAGES passages at most.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -143,10 +146,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model |
             for row, to, data, offsets in pieces(batch, "text"):
                 x, first = features(data, offsets)
                 part = batch.slice(row, to - row)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array([x[a + np.arange(min(b - a, PASSAGES)) * (b - a) // min(b - a, PASSAGES)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "quality", "x"])
 
     kind = {**dict(docs.dtypes), **dict(known.dtypes)}
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").collect()
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.mapInArrow(run, f"doc_id {kind['doc_id']}, quality {kind['quality']}, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.doc_id, r.x))
