@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -60,9 +61,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import against_next
+    from .common import stash
+    from .simhash import against_next, near_counts
 
-    return against_next(_table(spark, sf_dir, "documents"))
+    # searched for are the documents whose id is divisible by 20, against all
+    prints = stash(against_next(_table(spark, sf_dir, "documents")), "prints")
+    return near_counts(prints, F.col("doc_id") % 20 == 0)
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

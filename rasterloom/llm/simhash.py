@@ -4,7 +4,7 @@ Terms are a text's distinct words (weight 1) and all its three-word sequences (w
 lower-cased.  Each term's 128-bit hash votes, with its weight, for or against every bit; a bit is
 set where the votes for it prevail.  A text without words has no bit set.
 
-within() finds all fingerprints within a Hamming radius by permuted block tables: of `blocks`
+within() finds all fingerprints within a Hamming radius of given ones by permuted block tables: of `blocks`
 blocks at most `radius` differ, so some choice of blocks - radius of them agrees, and each
 choice is a table keyed by its blocks.
 """
@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_BLANK, PIECE_BYTES, U64, Words, mix, pieces, stash
@@ -167,23 +167,44 @@ def against_next(docs: DataFrame) -> DataFrame:
     return done.select(*_COLUMNS)
 
 
-def within(prints: DataFrame, *, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """(a, b, distance) of all pairs of different fingerprints at most `radius` bits apart, a < b.
+def _tables(radius: int, blocks: int) -> list[tuple[int, ...]]:
+    """The choices of blocks that are keys: one of them agrees wherever at most `radius` bits differ."""
+    if not 0 <= radius < blocks <= BITS // 4:
+        raise ValueError(f"radius must be less than blocks, which are at most {BITS // 4}")
+    return list(combinations(range(blocks), blocks - radius))
 
-    `prints` has a hexadecimal column fingerprint; rows with equal ones are one class, so copies
-    cost nothing: membership is the input itself.  Null fingerprints are left out.
+
+def within(prints: DataFrame, queries: DataFrame, *, radius: int = 6, blocks: int = 8, salt: int = 4) -> DataFrame:
+    """(query, fingerprint, distance): for every different fingerprint of `queries` all of `prints` at most `radius` bits away, itself included.
+
+    Both have a hexadecimal column fingerprint, of which nulls are left out and equal ones are one: copies cost nothing, and
+    membership is the input itself.  The rows of one key are dealt to `salt` tasks, to which that key's queries go all.  A pair that
+    agrees in several tables is given by the first.
     """
-    if not 0 <= radius < blocks:
-        raise ValueError("radius must be less than blocks")
-    each = prints.select("fingerprint").where("fingerprint is not null").distinct()
-    binary = each.withColumn("bits", F.lpad(F.conv(F.substring("fingerprint", 1, 16), 16, 2), 64, "0"))
-    binary = binary.withColumn("bits", F.concat("bits", F.lpad(F.conv(F.substring("fingerprint", 17, 16), 16, 2), 64, "0")))
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    part = [F.substring("bits", a + 1, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    tables = F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))])
-    keyed = stash(binary.select("fingerprint", "bits", F.explode(tables).alias("key")), "tables")
-    x = keyed.select("key", F.col("fingerprint").alias("a"), F.col("bits").alias("x"))
-    y = keyed.select("key", F.col("fingerprint").alias("b"), F.col("bits").alias("y"))
-    word = lambda c, i: F.conv(F.substring(c, i, 32), 2, 10).cast("long")
-    distance = sum((F.bit_count(word("x", i).bitwiseXOR(word("y", i))) for i in (33, 65, 97)), F.bit_count(word("x", 1).bitwiseXOR(word("y", 1))))
-    return x.join(y, "key").where("a < b").select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    cuts = [BITS // 4 * i // blocks for i in range(blocks + 1)]
+    part = lambda c, i: F.substring(c, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    tables = _tables(radius, blocks)
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *[part("fingerprint", i) for i in chosen]).alias("key")) for k, chosen in enumerate(tables)])
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.select("fingerprint").where("fingerprint is not null").distinct().select("fingerprint", F.explode(keys).alias("t")).select("fingerprint", "t.k", "t.key")
+
+    each = keyed(prints).withColumn("to", F.pmod(F.xxhash64("fingerprint"), F.lit(salt)).cast("int"))
+    asked = keyed(queries).withColumnRenamed("fingerprint", "query").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    pairs = each.join(asked, ["k", "key", "to"])
+    word = lambda c, i: F.conv(F.substring(c, i, 8), 16, 10).cast("long")
+    distance = sum((F.bit_count(word("query", i).bitwiseXOR(word("fingerprint", i))) for i in (9, 17, 25)), F.bit_count(word("query", 1).bitwiseXOR(word("fingerprint", 1))))
+    pairs = pairs.select("query", "fingerprint", "k", distance.alias("distance")).where(F.col("distance") <= radius)
+    equal = F.array_compact(F.array(*[F.when(part("query", i) == part("fingerprint", i), F.lit(i)) for i in range(blocks)]))
+    first = F.slice(equal, 1, blocks - radius)
+    chosen = F.array(*[F.array(*[F.lit(i) for i in c]) for c in tables])
+    return pairs.where(first == F.get(chosen, F.col("k"))).select("query", "fingerprint", "distance")
+
+
+def near_counts(prints: DataFrame, asked: Column, *, radius: int = 6, blocks: int = 8) -> DataFrame:
+    """The rows of prints (doc_id, fingerprint, ..) with near_docs: for those `asked`, how many other rows have a fingerprint at most `radius` bits away; else null."""
+    many = prints.groupBy("fingerprint").agg(F.count("*").alias("many"))
+    hits = within(many, prints.where(asked), radius=radius, blocks=blocks).join(many, "fingerprint")
+    near = stash(hits.groupBy(F.col("query").alias("fingerprint")).agg((F.sum("many") - 1).alias("near_docs")), "near")
+    both = prints.join(near, "fingerprint", "left")
+    return both.select(*prints.columns, F.when(asked, F.col("near_docs")).alias("near_docs"))
