@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from rasterloom.llm import bpe, chat, decontaminate, lines, ngram_join, quality, simhash, substrings, token_files, warc
 from rasterloom.llm.common import stash
 
+from ..conftest import SF
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -70,11 +72,41 @@ def test_warc_round_trip_with_magic_in_payloads(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_warc_chain_rejects_what_no_chain_reaches():
+def test_warc_chain_rejects_what_no_chain_reaches(spark, tmp_path):
     at, after = np.array([0, 10, 20, 30, 50]), np.array([20, 30, 50, 99, 60])
     assert warc.chain(at, after).tolist() == [0, 2, 4]
-    with pytest.raises(ValueError):
-        warc.records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
+    (tmp_path / "cut.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")
+    with pytest.raises(Exception, match="does not end"):
+        warc.read(spark, str(tmp_path / "cut.warc")).collect()
+
+
+def test_warc_is_read_in_byte_ranges(spark, tmp_path):
+    """Ranges end anywhere: in headers, payloads, version lines, real and false."""
+    r = random.Random(1)
+    fake = "WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    rows = [(i, r.choice([None, "http://x/WARC/1.1", "u" * 90]), "".join(r.choice(["x" * r.randrange(40), fake, "WARC/1.1\r\n", "é\r\n\r\n"]) for _ in range(r.randrange(9)))) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    warc.write(pages, str(tmp_path / "w"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in was:
+            spark.conf.set(k, "997")
+        assert spark.read.option("lineSep", "WARC/1.1\r\n").text(str(tmp_path / "w")).rdd.getNumPartitions() > 20
+        got = {x.page_id: (x.url, x.payload_bytes, x.payload_digest) for x in warc.read(spark, str(tmp_path / "w")).collect()}
+        assert {x.page_id: x.payload.decode() for x in warc.read(spark, str(tmp_path / "w"), payload=True).collect()} == {i: h for i, _, h in rows}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {i: (u, len(h.encode()), hashlib.sha1(h.encode()).hexdigest()) for i, u, h in rows}
+
+
+def test_warc_of_many_groups_of_copies(spark, monkeypatch):
+    rows = [(i, "u", f"{i % 7} " * 600) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_digest", F.lit("clash"))
+    plain = sorted(warc.typed(pages).select("page_id", "record_type", "refers_to").collect())
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 1)
+    assert sorted(warc.typed(pages).select("page_id", "record_type", "refers_to").collect()) == plain
+    assert sum(x.record_type == "response" for x in plain) == 7
 
 
 def test_warc_reads_headers_of_any_length(spark, tmp_path):
@@ -122,17 +154,12 @@ def test_line_dedup_removes_equal_short_lines(spark):
 def _line_variants(w):
     """(variant, whether it is the line itself) of a line's words, written out as the operator's docstring has it."""
     n, out = len(w), []
-    if 5 <= n <= 9:
-        out.append((("untagged", *w), True))
-        for i in range(n):
-            out += [(("tagged", i, n, *w[:i], *w[i + 1 :]), False), (("untagged", *w[:i], *w[i + 1 :]), False)]
-    for m in (4, 8, 16, 32):
-        if n >= 8 and (m == 4 or n + n // 4 >= 5 * m) and (m == 32 or n < 10 * m):
-            of = [(ord(x[0]) * 7 + ord(x[-1]) * 31 + len(x.encode()) * 13 + (ord(x[1]) * 17 if len(x) > 1 else 0)) % m for x in w]
-            for t in range(m):
-                rest = [x for x, c in zip(w, of, strict=True) if c == t]
-                if len(rest) > 1:
-                    out.append((("class", m, t, *rest), False))
+    if 5 <= n <= 11:
+        out.append(((n, *sorted(w)), True))
+        out += [((n - 1, *sorted(w[:i] + w[i + 1 :])), False) for i in range(n)]
+    if n >= 10:
+        for j in range(0, n - 5, 12):
+            out += [(("start", j, *w[j : j + 6]), False), (("end", j, *w[n - j - 6 : n - j]), False)]
     return out
 
 
@@ -162,7 +189,7 @@ def test_line_dedup_bound_grows_with_the_line(spark):
     r = random.Random(5)
     voc = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(1, 9))) for _ in range(600)]
     texts = []
-    for n in [8, 9, 10, 11, 14, 15, 19, 20, 21, 24, 25, 32, 40, 61, 64, 79, 80, 130, 300] * 3:
+    for n in [8, 9, 10, 11, 12, 14, 15, 18, 20, 25, 32, 40, 61, 80, 130, 300] * 3:
         base = [r.choice(voc) for _ in range(n)]
         for share in (0, 0.03, 0.1, 0.19, 0.21, 0.3):
             w = list(base)
@@ -179,20 +206,23 @@ def test_line_dedup_bound_grows_with_the_line(spark):
 
 
 def test_line_dedup_finds_all_lines_of_few_edits(spark):
-    """Of lines with an untouched class, all at most (classes - 1) / 2 edits from the first one go, however they were edited."""
+    """One edit of any kind, or changed words of which there are fewer than blocks."""
     r = random.Random(6)
     voc = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
-    texts, edits = [], {12: 1, 30: 1, 50: 3, 75: 3, 100: 7, 150: 7, 200: 15, 400: 15}
-    for n, most in edits.items():
+    texts = []
+    for n in (6, 7, 10, 11, 12, 13, 17, 23, 40, 75, 150, 400):
         base = [r.choice(voc) for _ in range(n)]
         texts.append(" ".join(base))
-        for _ in range(6):
+        for kind in (0, 1, 2) * 2:
             w = list(base)
-            for _ in range(most):
-                at, kind = r.randrange(len(w)), r.randrange(3)
-                w[at : at + (kind > 0)] = [r.choice(voc)] * (kind < 2)
+            at = r.randrange(len(w))
+            w[at : at + (kind > 0)] = [r.choice(voc)] * (kind < 2)
             texts.append(" ".join(w))
-    assert {r.doc_id for r in lines.removed(docs_of(spark, texts)).collect()} == {i for i in range(len(texts)) if i % 7}
+        w = list(base)
+        for at in r.sample(range(n), max(1, (n - 6) // 12)):
+            w[at] = r.choice(voc)
+        texts.append(" ".join(w))
+    assert {x.doc_id for x in lines.removed(docs_of(spark, texts)).collect()} == {i for i in range(len(texts)) if i % 8}
 
 
 def test_line_dedup_keeps_all_columns_and_takes_long_lines(spark):
@@ -304,6 +334,29 @@ def test_similar_sets_share_a_signature():
                     assert np.intersect1d(ngram_join.signatures(x, percent), ngram_join.signatures(y, percent)).size
 
 
+def test_ngram_join_of_torn_groups(spark):
+    """Chains of which the hub is linked with one end only, so that the rest is found in blocks."""
+    r = random.Random(12)
+    texts = []
+    for _ in range(12):
+        w = [f"x{r.randrange(10**6)}" for _ in range(90)]
+        for _ in range(9):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    want = _components(texts, 3, 90)
+    assert len({c for _, c in want.values()}) < 30
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.classes(docs_of(spark, texts)).collect()} == want
+
+
+def test_ngram_join_refuses_what_signatures_cannot_find(spark):
+    with pytest.raises(ValueError):
+        ngram_join.classes(docs_of(spark, ["a b c"]), percent=50)
+    df = docs_of(spark, ["a b c d e f g", "a b c d e f g"]).withColumn("_gone", F.lit("x")).withColumn("__gone", F.lit("y"))
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns and [x.doc_id for x in kept.collect()] == [0]
+
+
 def test_ngram_join_of_odd_rows(spark, empty):
     assert ngram_join.classes(empty).count() == 0
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (3, "q r s t u v"), (None, "a b c d e f"), (1, "q r s t u v"), (2, "")]
@@ -330,6 +383,20 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert {r.doc_id: bytes(r.bytes) for r in back.collect()} == {d: (t or "").encode() for d, t in enumerate(texts)}
 
 
+def test_bpe_of_long_pieces(spark):
+    """Pieces without blanks, which are worked on alone."""
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(4)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n in (255, 257, 1000, 30_000) for letters in ("ab", "etaoinshr", "abcdefghijklmnopqrstuvwxyz", "éüßañ")] + ["a" * 5000, "日本" * 900]
+    got = {x.doc_id: (x.n_tokens, x.ids_sha256) for x in bpe.digests(docs_of(spark, texts), RANKS, public_tokenizers.PATTERN).collect()}
+    for d, t in enumerate(texts):
+        ids = library.encode_ordinary(t)
+        assert got[d] == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -363,38 +430,100 @@ def test_token_files_round_trip(spark, tmp_path, empty):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_roll_and_give_single_documents(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "x9", "été"]) for _ in range(r.randrange(400))) for _ in range(60)]
+    rows = [(i, t, "clash", "clash") for i, t in enumerate(texts)] + [(7, texts[7], "clash", "clash")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part string, content string")
+    # a task's segments go to several files
+    monkeypatch.setattr(token_files, "SEGMENTS", 1)
+    monkeypatch.setattr(token_files, "SEGMENT", 500)
+    token_files.write(df, str(tmp_path / "t"), path)
+    assert len(list((tmp_path / "t").glob("part-*"))) > 4
+    ids = [(d, [*library.encode(t, add_special_tokens=False).ids, 1]) for d, t, *_ in sorted(rows)]
+    want, start = [], 0
+    for d, x in ids:
+        want.append((d, start, len(x), zlib.crc32(struct.pack(f"<{len(x)}I", *x))))
+        start += len(x)
+    assert sorted(tuple(x) for x in token_files.read(spark, str(tmp_path / "t")).collect()) == want
+    got = [(x.doc_id, x.ids) for x in token_files.ids_of(spark, str(tmp_path / "t"), [0, 7, 33, 999]).collect()]
+    assert sorted(got) == sorted((d, x) for d, x in ids if d in (0, 7, 33))
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------------
 
 
+M64 = (1 << 64) - 1
+
+
+def _mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M64
+    return x ^ (x >> 31)
+
+
+def _voted(text):
+    """The fingerprint by votes that are counted one by one."""
+    words = [w.encode() for w in WORD.findall(text.translate(LOW))]
+    h = [_mixed((sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(w)) + len(w)) & M64) for w in words]
+    terms = [(x, 1) for x in set(h)]
+    for a, b, c in zip(h, h[1:], h[2:], strict=False):
+        step = 0xD6E8FEB86659FD93
+        terms.append((_mixed((((a * step + b) * step + c) + 3) & M64), 2))
+    votes = [0] * 128
+    for x, weight in terms:
+        for half, y in enumerate((x, _mixed(x ^ 0x2545F4914F6CDD1D))):
+            for i, byte in enumerate(y.to_bytes(8, "little")):
+                for k in range(8):
+                    votes[half * 64 + i * 8 + k] += weight if byte >> (7 - k) & 1 else -weight
+    return f"{int(''.join('1' if v > 0 else '0' for v in votes), 2):032x}"
+
+
 def test_fingerprints_against_the_next_document(spark, empty):
-    texts = corpus(7, 3, 4)
+    texts = [*corpus(7, 3, 4), "a b c d e f " * 40, "É ß 日本 x" * 30]
     rows = [(d * 10, t) for d, t in enumerate(texts)]
     got = {r.doc_id: r for r in simhash.against_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     for k, (d, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        a, b, c = simhash._of([t, new, after])
-        assert (got[d].n_chars, got[d].edited_sha256, got[d].fingerprint, got[d].edited_fingerprint) == (len(t), hashlib.sha256(new.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex())
-        assert (got[d].near_edited, got[d].near_next) == (simhash.likeness(a, b), simhash.likeness(a, c))
+        a, b, c = (_voted(x) for x in (t, new, after))
+        assert (got[d].n_chars, got[d].edited_sha256, got[d].fingerprint, got[d].edited_fingerprint) == (len(t), hashlib.sha256(new.encode()).hexdigest(), a, b)
+        like = lambda x, y: 1 - (int(x, 16) ^ int(y, 16)).bit_count() / 128
+        assert (got[d].near_edited, got[d].near_next) == (like(a, b), like(a, c))
     assert simhash.against_next(empty).count() == 0
     one = simhash.against_next(spark.createDataFrame([(None, "a b c d")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.doc_id is None
 
 
-def test_all_near_fingerprints_are_found(spark):
+@pytest.mark.parametrize(("radius", "blocks"), [(4, 7), (6, 8), (0, 1), (3, 4)])
+def test_all_near_fingerprints_are_found(spark, radius, blocks):
     r = random.Random(2)
-    base = [r.getrandbits(128) for _ in range(6)]
+    base = [0, *(r.getrandbits(128) for _ in range(5))]
     prints = list(base) * 2
     for b in base:
         for _ in range(8):
             x = b
-            for k in r.sample(range(128), r.randrange(7)):
+            for k in r.sample(range(128), r.randrange(9)):
                 x ^= 1 << k
             prints.append(x)
-    texts = sorted({f"{p:032x}" for p in prints})
-    want = {(a, b, k) for i, a in enumerate(texts) for b in texts[i + 1 :] if (k := (int(a, 16) ^ int(b, 16)).bit_count()) <= 4}
-    df = spark.createDataFrame([(f"{p:032x}",) for p in prints] + [(None,)], "fingerprint string")
-    assert {tuple(x) for x in simhash.within(df, radius=4, blocks=7).collect()} == want and want
+    texts = [f"{p:032x}" for p in prints]
+    asked = texts[::3]
+    want = {(a, b, k) for a in asked for b in texts if (k := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
+    df = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (-1, None)], "doc_id long, fingerprint string")
+    got = [tuple(x) for x in simhash.within(df, df.where("doc_id % 3 = 0"), radius=radius, blocks=blocks).collect()]
+    assert set(got) == want and len(got) == len(want)
+    near = {x.doc_id: x.near_docs for x in simhash.near_counts(df, F.col("doc_id") % 3 == 0, radius=radius, blocks=blocks).collect()}
+    assert near == {-1: None, **{i: sum((int(t, 16) ^ int(x, 16)).bit_count() <= radius for x in texts) - 1 if i % 3 == 0 else None for i, t in enumerate(texts)}}
+
+
+def test_radius_must_be_less_than_blocks(spark):
+    df = spark.createDataFrame([("0" * 32,)], "fingerprint string")
+    with pytest.raises(ValueError):
+        simhash.within(df, df, radius=8, blocks=8)
 
 
 # 8 -------------------------------------------------------------------------------------------------------------------------
@@ -478,6 +607,25 @@ def test_quality_on_held_out_rows(spark, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def test_quality_of_the_supplied_labels(spark):
+    """Held-out rows of the test tables, which the model has not seen: area under the curve and both kinds of error."""
+    docs, labels = (spark.read.parquet(f"{SF.parent}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(docs, quality.fit(docs, labels)).where("held_out").join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id").where("quality is not null").collect()
+    good, bad = ([x.score for x in rows if x.quality == q] for q in (1, 0))
+    assert len(good) > 30 and len(bad) > 5
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.97
+    assert np.mean([g >= 0.3 for g in good]) > 0.97 and np.mean([b < 0.3 for b in bad]) > 0.7
+
+
+def test_quality_fit_is_bounded(spark):
+    """Rows that repeat a doc_id and very long texts leave the driver with a bounded sample."""
+    texts = ["good words here. " * 20_000] * 40 + ["BAD!! $$$ *** " * 10] * 40
+    df = spark.createDataFrame([(i % 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    assert quality.score(df, model).count() == 80
+
+
 def test_scores_ignore_all_but_the_text(spark):
     df = docs_of(spark, corpus(11, 2, 3))
     labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
