@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import normal, uniform
+from .numbering import numbered
 
 
 def between(low: float, high: float, seed: int, *keys: str) -> Column:
@@ -90,7 +91,9 @@ def cut_mix(df: DataFrame, donors: DataFrame, shape, p: float = 0.5, v: str = "v
     u = lambda k: uniform(seed + k, scene)
     y0, x0 = F.floor(u(1) * shape[0]), F.floor(u(2) * shape[1])
     inside = (u(0) < p) & F.col("y").between(y0, y0 + F.floor(u(3) * shape[0])) & F.col("x").between(x0, x0 + F.floor(u(4) * shape[1]))
-    n = donors.select("donor").distinct()
-    pick = df.select(scene).distinct().join(F.broadcast(n)).groupBy(scene).agg(F.min_by("donor", F.xxhash64(F.lit(seed), scene, "donor")).alias("donor"))
+    each = numbered(donors.select("donor").distinct(), ["donor"], "_k")
+    n = each.agg(F.max("_k").alias("_n"))
+    pick = df.select(scene).distinct().join(F.broadcast(n)).withColumn("_k", F.floor(uniform(seed + 5, scene) * F.col("_n")).cast("long") + 1)
+    pick = pick.join(each, "_k").select(scene, "donor")
     both = df.join(pick, scene).join(donors.select("donor", "y", "x", F.col(v).alias("_d")), ["donor", "y", "x"], "left")
     return both.withColumn(v, F.when(inside & F.col("_d").isNotNull(), F.col("_d")).otherwise(F.col(v))).drop("_d", "donor")

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import drop, stash
+
 
 def to_arrays(cube: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, bands) from long rows (keys, band, v)."""
@@ -65,31 +67,36 @@ def estimate_mean(df: DataFrame, by: list[str], v: str = "v", method: str = "mea
 
 
 def huber_mean(df: DataFrame, by: list[str], v: str = "v", c: float = 1.345, rounds: int = 50, tol: float = 1e-6) -> DataFrame:
-    """Reweighted means with the scale 1.4826 MAD, until they stay."""
+    """Reweighted means with the scale 1.4826 MAD (1 where that is 0), until the largest move is below `tol`; one row a group is written each round."""
+    if c <= 0:
+        raise ValueError("c is positive")
     med = df.groupBy(*by).agg(F.median(v).alias("m"))
-    scale = df.join(med, by).groupBy(*by).agg(F.median(F.abs(F.col(v) - F.col("m"))).alias("s"), F.first("m").alias("m")).withColumn("s", F.greatest(F.col("s") * 1.4826, F.lit(1e-12)))
+    scale = df.join(med, by).groupBy(*by).agg((F.median(F.abs(F.col(v) - F.col("m"))) * 1.4826).alias("s"), F.first("m").alias("m"))
+    scale = stash(scale.withColumn("s", F.when(F.col("s") > np.finfo(float).eps, F.col("s")).otherwise(F.lit(1.0))), "huber")
     for _ in range(rounds):
-        d = F.abs(F.col(v) - F.col("m"))
-        w = F.when(d <= c * F.col("s"), 1.0).otherwise(c * F.col("s") / d)
-        new = df.join(scale, by).groupBy(*by).agg((F.sum(w * F.col(v)) / F.sum(w)).alias("m2"), F.first("m").alias("m"), F.first("s").alias("s")).persist()
+        z = F.greatest(F.abs(F.col(v) - F.col("m")) / F.col("s"), F.lit(float(np.finfo(float).eps)))
+        w = F.least(F.lit(1.0), c / z)
+        new = stash(df.join(scale, by).groupBy(*by).agg((F.sum(w * F.col(v)) / F.sum(w)).alias("m2"), F.first("m").alias("m"), F.first("s").alias("s")), "huber")
         move = new.agg(F.max(F.abs(F.col("m2") - F.col("m")))).first()[0]
-        scale = new.select(*by, F.col("m2").alias("m"), "s")
-        if move is None or move <= tol:
+        drop(scale)
+        scale = stash(new.select(*by, F.col("m2").alias("m"), "s"), "huber")
+        drop(new)
+        if move is None or move < tol:
             break
     return scale.select(*by, F.col("m").alias("mean"))
 
 
 def shrink_covariance(cov: np.ndarray, n: int, method: str = "oas") -> np.ndarray:
-    """Towards its mean variance; oas, or a number between 0 and 1."""
-    p = len(cov)
-    mu, sq = np.trace(cov) / p, float((cov * cov).sum())
+    """Towards its mean variance, by "oas" or "ledoit_wolf" from the covariance and the number of samples."""
+    p, trace, square = len(cov), float(np.trace(cov)), float((cov * cov).sum())
+    away = square - trace * trace / p
     if method == "oas":
-        den = (n + 1) * (sq - np.trace(cov) ** 2 / p)
-        rho = 1.0 if den <= 0 else min(1.0, ((1 - 2 / p) * sq + np.trace(cov) ** 2) / den)
+        share = 1.0 if away <= 0 else min(1.0, ((1 - 2 / p) * square + trace**2) / ((n + 1) * away))
+    elif method == "ledoit_wolf":
+        share = 0.0 if away <= 0 else min(1.0, (square + trace**2 / p) / max(n, 1) / away)
     else:
-        den = sq - p * mu * mu
-        rho = 1.0 if den <= 0 else min(1.0, max(0.0, (sq + np.trace(cov) ** 2) / (max(n, 1) * den)))
-    return (1 - rho) * cov + rho * mu * np.eye(p)
+        raise ValueError("method is oas or ledoit_wolf")
+    return (1 - share) * cov + share * trace / p * np.eye(p)
 
 
 def lowrank_covariance(cov: np.ndarray, rank: int = 10, tikhonov: float = 1e-3) -> np.ndarray:
@@ -146,17 +153,28 @@ def cluster_filter(df: DataFrame, target: np.ndarray, label: str = "label", band
     """Each pixel by its cluster's background; the weights are a row for each cluster."""
     n = len(target)
 
-    def run(key, table):
+    def run(batches):
         import pyarrow as pa
 
-        x = np.array(table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
-        return pa.table({"label": pa.array([key[0].as_py()]), "n": [len(x)], "s": [x.sum(0).tolist()], "p": [(x.T @ x).ravel().tolist()]})
-
-    rows = df.select(F.col(label).alias("label"), F.col(bands).alias("bands"), F.spark_partition_id().alias("_p")).groupBy("label", "_p").applyInArrow(run, f"label {dict(df.dtypes)[label]}, n long, s array<double>, p array<double>").collect()
-    state: dict = {}
+        sums: dict = {}
+        for batch in batches:
+            x = np.array(batch.column("bands").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, n)
+            of = batch.column("label").to_numpy(zero_copy_only=False)
+            for k in np.unique(of):
+                own = x[of == k]
+                one = (len(own), own.sum(0), own.T @ own)
+                sums[k] = merge_gram(sums[k], one) if k in sums else one
+        for k, (c, s, p) in sums.items():
+            flat = np.concatenate([[c], s, p.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k)), pa.array(np.arange(len(flat))), pa.array(flat)], ["label", "i", "v"])
+
+    # a partition adds up a matrix for each cluster, and partitions' matrices are added before they come to the driver
+    parts = df.select(F.col(label).alias("label"), F.col(bands).alias("bands")).mapInArrow(run, f"label {dict(df.dtypes)[label]}, i long, v double")
+    rows = parts.groupBy("label", "i").agg(F.sum("v").alias("v")).orderBy("label", "i").collect()
+    flat: dict = {}
     for r in rows:
-        one = (r.n, np.array(r.s), np.array(r.p).reshape(n, n))
-        state[r.label] = merge_gram(state[r.label], one) if r.label in state else one
+        flat.setdefault(r.label, []).append(r.v)
+    state = {k: (f[0], np.array(f[1 : n + 1]), np.array(f[n + 1 :]).reshape(n, n)) for k, f in flat.items()}
     weights = []
     for k, (c, s, p) in state.items():
         mean = s / c

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..checkpoints import stash
 from ..functions.boxes import BOX
 from ..functions.numeric import micros
 
@@ -23,6 +24,11 @@ def _struct(df: DataFrame, name: str) -> Column:
     return F.struct(*[F.col(f"{name}__{c}").alias(c) for c in df.columns]).alias(name)
 
 
+def _distance(x: str, y: str) -> Column:
+    dx, dy = F.col(f"l__{x}") - F.col(f"r__{x}"), F.col(f"l__{y}") - F.col(f"r__{y}")
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def box_join(left: DataFrame, right: DataFrame, *, cell: float = 10.0, days: float | None = None, start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Rows of both sides whose boxes touch, as structs l and r; with `days`, whose closed intervals overlap too.
 
@@ -57,35 +63,64 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, x: str = "px",
     a = left.select(*_flat(left, "l"), cell(x).alias("_x"), cell(y).alias("_y"), F.explode(around).alias("_o"))
     a = a.withColumn("_cx", F.col("_x") + F.col("_o.i")).withColumn("_cy", F.col("_y") + F.col("_o.j")).drop("_x", "_y", "_o")
     b = right.select(*_flat(right, "r"), cell(x).alias("_cx"), cell(y).alias("_cy"))
-    d = F.hypot(F.col(f"l__{x}") - F.col(f"r__{x}"), F.col(f"l__{y}") - F.col(f"r__{y}"))
+    d = _distance(x, y)
     return a.join(b, ["_cx", "_cy"]).where(d <= radius).select(_struct(left, "l"), _struct(right, "r"), d.alias("distance"))
 
 
+#: Cells a side of the grid by which the points that a doubled radius does not settle are searched, and doublings before that.
+_GRID, _DOUBLINGS = 32, 4
+
+
+def _nearest(pairs: DataFrame, k: int, left_id: str, right_id: str) -> DataFrame:
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy(f"l.{left_id}").orderBy("distance", f"r.{right_id}"))).where(F.col("rank") <= k)
+
+
+def _far_nearest(left: DataFrame, right: DataFrame, k: int, x: str, y: str) -> DataFrame:
+    """Candidates (l, r, distance) with the k nearest, wherever the points lie.
+
+    `right` is dealt to a grid of fixed size over its extent; the cells' boxes and counts, at most _GRID ** 2, go to every task.
+    The nearest cells that together hold k points bound the distance, and only cells that come nearer are joined.
+    """
+    ends = right.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1"))
+    at = lambda c, lo, hi: F.least(F.lit(_GRID - 1), F.floor(F.coalesce(F.try_divide((F.col(c) - F.col(lo)) * _GRID, F.col(hi) - F.col(lo)), F.lit(0.0)))).cast("long")
+    dealt = right.join(F.broadcast(ends)).withColumn("_cell", at(x, "_x0", "_x1") * _GRID + at(y, "_y0", "_y1")).drop("_x0", "_x1", "_y0", "_y1")
+    cells = dealt.groupBy("_cell").agg(F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"))
+    cells = cells.agg(F.collect_list(F.struct("_cell", "n", "x0", "x1", "y0", "y1")).alias("_cells"))
+
+    def reach(c):
+        gap = lambda p, lo, hi: F.greatest(c[lo] - F.col(p), F.col(p) - c[hi], F.lit(0.0))
+        span = lambda p, lo, hi: F.greatest(F.abs(c[lo] - F.col(p)), F.abs(F.col(p) - c[hi]))
+        return F.struct(F.hypot(span(x, "x0", "x1"), span(y, "y0", "y1")).alias("most"), c["n"].alias("n"), F.hypot(gap(x, "x0", "x1"), gap(y, "y0", "y1")).alias("least"), c["_cell"].alias("cell"))
+
+    a = left.join(F.broadcast(cells)).withColumn("_by", F.array_sort(F.transform("_cells", reach))).drop("_cells")
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d"))
+    bound = F.aggregate("_by", start, lambda s, c: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), c["most"].alias("d"))))["d"]
+    a = a.withColumn("_d", bound).withColumn("_cell", F.explode(F.transform(F.filter("_by", lambda c: c["least"] <= F.col("_d")), lambda c: c["cell"])))
+    a = a.select(*_flat(left, "l"), "_cell")
+    b = dealt.select(*_flat(right, "r"), "_cell")
+    d = _distance(x, y)
+    return a.join(b, "_cell").select(_struct(left, "l"), _struct(right, "r"), d.alias("distance"))
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, radius: float, left_id: str = "id", right_id: str = "id", x: str = "px", y: str = "py") -> DataFrame:
     """The k nearest points of `right` for each of `left`, ties by id, as (l, r, distance, rank).
 
-    The search doubles its radius for those that have fewer than k within it, until none is left or
-    all of `right` has been seen; points of `left` keep what there is.
+    The search doubles its radius a few times for those that have fewer than k within it; for the points left then,
+    counts on a grid tell which cells can hold the nearest.  Where `right` has fewer than k points, all are given.
     """
-    extent = right.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n")).first()
-    reach = left.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
-    if not extent["n"] or reach["x0"] is None:
+    if left.isEmpty() or right.isEmpty():
         return radius_join(left, right, radius, x, y).withColumn("rank", F.lit(1)).limit(0)
-    far = max(abs(extent["x1"] - reach["x0"]), abs(reach["x1"] - extent["x0"])) + max(abs(extent["y1"] - reach["y0"]), abs(reach["y1"] - extent["y0"])) + radius
     out, todo = None, left
-    while True:
-        near = radius_join(todo, right, radius, x, y)
-        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy(f"l.{left_id}").orderBy("distance", f"r.{right_id}"))).where(F.col("rank") <= k)
+    for _ in range(_DOUBLINGS):
+        ranked = stash(_nearest(radius_join(todo, right, radius, x, y), k, left_id, right_id), "nearest")
         full = ranked.where(F.col("rank") == k).select(F.col(f"l.{left_id}").alias("_done"))
-        last = radius >= far
-        part = ranked if last else ranked.join(full, F.col(f"l.{left_id}") == F.col("_done"), "left_semi")
+        part = ranked.join(full, F.col(f"l.{left_id}") == F.col("_done"), "left_semi")
         out = part if out is None else out.unionAll(part)
-        if last:
-            return out
-        todo = todo.join(full, todo[left_id] == full["_done"], "left_anti")
+        todo = stash(todo.join(full, todo[left_id] == full["_done"], "left_anti"), "todo")
         if todo.isEmpty():
             return out
         radius *= 2
+    return out.unionAll(_nearest(_far_nearest(todo, right, k, x, y), k, left_id, right_id))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, right_columns: list[str], tolerance_seconds: float | None = None) -> DataFrame:

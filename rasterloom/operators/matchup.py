@@ -64,6 +64,10 @@ class TemporalRule:
     def column(self) -> Column:
         raise NotImplementedError
 
+    def reach(self) -> tuple[float, float]:
+        """Seconds by which a primary's interval is widened before and after, so that all that can match overlaps it."""
+        raise NotImplementedError
+
 
 def midpoint(prefix: str) -> Column:
     return (micros(f"{prefix}.start_time") + micros(f"{prefix}.end_time")) / 2 / 1e6
@@ -79,6 +83,9 @@ class NearestInTime(TemporalRule):
     def column(self):
         return F.abs(midpoint("l") - midpoint("r")) <= self.seconds
 
+    def reach(self):
+        return self.seconds, self.seconds
+
 
 @dataclass
 class WithinWindow(TemporalRule):
@@ -90,6 +97,9 @@ class WithinWindow(TemporalRule):
     def column(self):
         return (midpoint("r") - midpoint("l")).between(self.start, self.end)
 
+    def reach(self):
+        return max(-self.start, 0.0), max(self.end, 0.0)
+
 
 @dataclass
 class Synchronous(TemporalRule):
@@ -101,6 +111,9 @@ class Synchronous(TemporalRule):
         t = int(self.tolerance * 1e6)
         return (micros("l.start_time") - t <= micros("r.end_time")) & (micros("l.end_time") + t >= micros("r.start_time"))
 
+    def reach(self):
+        return self.tolerance, self.tolerance
+
 
 def matchup(primary: DataFrame, secondary: dict[str, DataFrame], *, spatial: SpatialRule, temporal: TemporalRule, join: str = "all", cell: float = 10.0, tag: str | None = None) -> DataFrame:
     """Rows of member_ids, member_roles and time_offset_sec (in the order primary, roles), the common box and time_reference.
@@ -115,7 +128,13 @@ def matchup(primary: DataFrame, secondary: dict[str, DataFrame], *, spatial: Spa
     out = base.select(F.struct("*").alias("p"))
     for role, df in secondary.items():
         wide = base.withColumns({"xmin": F.col("xmin") - reach, "ymin": F.col("ymin") - reach, "xmax": F.col("xmax") + reach, "ymax": F.col("ymax") + reach})
-        pairs = box_join(wide, df.select("id", *boxes.BOX, "start_time", "end_time"), cell=cell).where(temporal.column())
+        before, after = temporal.reach()
+        moved = lambda c, s: F.timestamp_micros(micros(c) + F.lit(int(s * 1e6)))
+        wide = wide.withColumns({"_own": F.struct("start_time", "end_time"), "start_time": moved("start_time", -before), "end_time": moved("end_time", after)})
+        # time buckets about as long as the widened intervals keep candidates in proportion to what is near in time too
+        pairs = box_join(wide, df.select("id", *boxes.BOX, "start_time", "end_time"), cell=cell, days=max((before + after) / 86_400, 1.0))
+        own = {c: F.col(f"l._own.{c}") for c in ("start_time", "end_time")}
+        pairs = pairs.withColumn("l", F.col("l").withField("start_time", own["start_time"]).withField("end_time", own["end_time"])).where(temporal.column())
         if temporal.nearest:
             w = W.partitionBy("l.id").orderBy(F.abs(midpoint("l") - midpoint("r")), "r.id")
             pairs = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1")

@@ -125,48 +125,99 @@ def boundaries(df: DataFrame, v: str = "label", by=()) -> DataFrame:
     return n.select(*by, "y", "x", (F.col("lo") != F.col("hi")).alias("boundary"))
 
 
-def local_mean_variance(df: DataFrame, window: int = 7, v: str = "v", by=()) -> DataFrame:
-    """Mean and population variance of the cells of an odd window that exist."""
+def padded(df: DataFrame, radius: int, pad: str = "nearest", v: str = "v", by=()) -> DataFrame:
+    """(by, y, x, v) with a frame `radius` wide: "nearest" repeats the border cells, "reflect" mirrors the field with its border cells.
+
+    The field's box follows from each group's rows; with "reflect" it must be at least `radius` wide and high.
+    """
+    if pad not in ("nearest", "reflect"):
+        raise ValueError("pad is nearest or reflect")
+    box = df.groupBy(*by).agg(*[f(c).alias(f"_{c}{n}") for c in ("y", "x") for f, n in ((F.min, 0), (F.max, 1))])
+    rows = df.select(*by, "y", "x", F.col(v).alias("v"))
+    rows = rows.join(box, list(by)) if by else rows.join(F.broadcast(box))
+
+    def places(c):
+        p, lo, hi = F.col(c), F.col(f"_{c}0"), F.col(f"_{c}1")
+        if pad == "nearest":
+            return F.sequence(F.when(p == lo, p - radius).otherwise(p), F.when(p == hi, p + radius).otherwise(p))
+        return F.filter(F.array(p, 2 * lo - 1 - p, 2 * hi + 1 - p), lambda q: (q >= lo - radius) & (q <= hi + radius))
+
+    return rows.withColumn("y", F.explode(places("y"))).withColumn("x", F.explode(places("x"))).select(*by, "y", "x", "v")
+
+
+def windowed(df: DataFrame, shifts: list[tuple[int, int]], pad: str = "nearest", v: str = "v", by=(), **aggregates: Column) -> DataFrame:
+    """As neighbourhood(), with the field padded, so that all windows are whole."""
+    radius = max(max(abs(dy), abs(dx)) for dy, dx in shifts)
+    seen = offsets(padded(df, radius, pad, v, by) if radius else df, shifts, v if not radius else "v", by)
+    seen = seen.groupBy(*by, "y", "x").agg(*[a.alias(k) for k, a in aggregates.items()])
+    return df.select(*by, "y", "x").distinct().join(seen, [*by, "y", "x"])
+
+
+def _moments(df: DataFrame, window: int, v: str, by) -> DataFrame:
+    """Mean and population variance of the finite cells of a window, borders repeated."""
     x = valid(F.col("v"))
-    return neighbourhood(df, square(window // 2), v, by, mean=F.avg(x), var=F.var_pop(x))
+    return windowed(df, square(window // 2), "nearest", v, by, mean=F.avg(x), var=F.var_pop(x))
+
+
+def adaptive_background(df: DataFrame, window: int = 7, pad: str = "reflect", v: str = "v", by=()) -> DataFrame:
+    """Mean and sample variance (n / (n - 1), n the window's cells) of an odd window; a NaN makes its windows NaN."""
+    if window < 1 or window % 2 == 0:
+        raise ValueError("window is odd and positive")
+    n = window * window
+    m = windowed(df, square(window // 2), pad, v, by, mean=F.avg("v"), var=F.var_pop("v"))
+    return m.withColumn("var", F.col("var") * (n / max(n - 1, 1)))
+
+
+def _kept_nan(v: str, new: Column) -> Column:
+    return F.when(F.isnan(v) | F.col(v).isNull(), F.col(v)).otherwise(new)
 
 
 def despeckle_lee(df: DataFrame, window: int = 7, cu: float = 0.523, v: str = "v", by=()) -> DataFrame:
-    """mean + w (v - mean), w = var / (2 (var + (cu mean)^2))."""
-    both = df.join(local_mean_variance(df, window, v, by), [*by, "y", "x"])
-    w = 0.5 * F.col("var") / (F.col("var") + F.pow(F.lit(cu) * F.col("mean"), F.lit(2)) + F.lit(1e-12))
-    return both.withColumn(v, F.col("mean") + w * (F.col(v) - F.col("mean"))).drop("mean", "var")
+    """mean + w (v - mean), w = var / (2 (var + (cu mean)^2)), 0 where there is no variance; NaN stays."""
+    both = df.join(_moments(df, window, v, by), [*by, "y", "x"])
+    w = F.when(F.col("var") > 0, 0.5 * F.col("var") / (F.col("var") + F.pow(F.lit(cu) * F.col("mean"), F.lit(2)))).otherwise(F.lit(0.0))
+    return both.withColumn(v, _kept_nan(v, F.col("mean") + w * (F.col(v) - F.col("mean")))).drop("mean", "var")
 
 
 def despeckle_frost(df: DataFrame, window: int = 7, damping: float = 2.0, v: str = "v", by=()) -> DataFrame:
-    """a v + (1 - a) mean, a = 1 - exp(-damping * cv)."""
-    both = df.join(local_mean_variance(df, window, v, by), [*by, "y", "x"])
-    a = 1 - F.exp(-F.lit(damping) * F.sqrt("var") / (F.abs("mean") + F.lit(1e-12)))
-    return both.withColumn(v, a * F.col(v) + (1 - a) * F.col("mean")).drop("mean", "var")
+    """a v + (1 - a) mean, a = exp(-damping * deviation / |mean|), 1 where the mean is 0; NaN stays."""
+    both = df.join(_moments(df, window, v, by), [*by, "y", "x"])
+    cv = F.when(F.col("mean") != 0, F.sqrt("var") / F.abs("mean")).otherwise(F.lit(0.0))
+    a = F.exp(-F.lit(damping) * cv)
+    return both.withColumn(v, _kept_nan(v, a * F.col(v) + (1 - a) * F.col("mean"))).drop("mean", "var")
 
 
 def median_denoise(df: DataFrame, size: int = 3, v: str = "v", by=()) -> DataFrame:
-    """Median of the cells of the window that exist; NaN stays."""
-    n = neighbourhood(df, square(size // 2), v, by, _m=F.median(valid(F.col("v"))))
-    return df.join(n, [*by, "y", "x"]).withColumn(v, F.when(F.isnan(v), F.col(v)).otherwise(F.col("_m"))).drop("_m")
+    """Median of the window, borders repeated and NaN taken as the median of the whole group; NaN stays."""
+    whole = df.groupBy(*by).agg(F.median(valid(F.col(v))).alias("_all"))
+    full = (df.join(whole, list(by)) if by else df.join(F.broadcast(whole))).select(*by, "y", "x", F.coalesce(valid(F.col(v)), F.col("_all")).alias("v"))
+    n = windowed(full, square(size // 2), "nearest", "v", by, _m=F.median("v"))
+    return df.join(n, [*by, "y", "x"]).withColumn(v, _kept_nan(v, F.col("_m"))).drop("_m")
 
 
 def gaussian_denoise(df: DataFrame, sigma: float = 1.0, v: str = "v", by=()) -> DataFrame:
-    """Gaussian mean of the finite cells that exist within four sigma; NaN stays."""
+    """Gaussian mean of the finite cells within four sigma, borders repeated; NaN stays."""
+    if sigma == 0:
+        return df
     w = F.exp(-(F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")) / F.lit(2 * sigma * sigma))
     x = valid(F.col("v"))
-    n = neighbourhood(df, square(int(4 * sigma + 0.5)), v, by, _m=F.sum(w * x) / F.sum(F.when(x.isNotNull(), w)))
-    return df.join(n, [*by, "y", "x"]).withColumn(v, F.when(F.isnan(v), F.col(v)).otherwise(F.col("_m"))).drop("_m")
+    n = windowed(df, square(int(4 * sigma + 0.5)), "nearest", v, by, _m=F.sum(w * x) / F.sum(F.when(x.isNotNull(), w)))
+    return df.join(n, [*by, "y", "x"]).withColumn(v, _kept_nan(v, F.col("_m"))).drop("_m")
 
 
-def destripe(df: DataFrame, v: str = "v", by=(), method: str = "mean", axis: str = "column") -> DataFrame:
-    """v - (profile - target): each column's (row's) mean or median against the mean or median of these."""
+def destripe(df: DataFrame, v: str = "v", by=(), method: str = "mean", axis: str = "column", window: int = 21) -> DataFrame:
+    """v - (profile - target): each column's (row's) mean or median against the mean or median of these; moment_matching then takes the mean of a window; NaN stays."""
+    if method not in ("mean", "median", "moment_matching"):
+        raise ValueError("method is mean, median or moment_matching")
     line = "x" if axis == "column" else "y"
     how = F.median if method == "median" else F.avg
     profile = df.groupBy(*by, line).agg(how(valid(F.col(v))).alias("_p"))
     target = profile.groupBy(*by).agg(how("_p").alias("_t"))
     profile = profile.join(target, list(by)) if by else profile.join(F.broadcast(target))
-    return df.join(profile, [*by, line]).withColumn(v, F.col(v) - (F.col("_p") - F.col("_t"))).drop("_p", "_t")
+    out = df.join(profile, [*by, line]).withColumn(v, F.col(v) - (F.col("_p") - F.col("_t"))).drop("_p", "_t")
+    if method == "moment_matching":
+        out = out.join(_moments(out, window, v, by), [*by, "y", "x"]).withColumn(v, _kept_nan(v, F.col("mean"))).drop("mean", "var")
+    return out
 
 
 def peak_local_max(df: DataFrame, min_distance: int = 1, threshold: float | None = None, v: str = "v", by=()) -> DataFrame:

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..checkpoints import stash
 from ..functions.boxes import haversine, inverse
 from ..functions.numeric import uniform
 from .aggregations import Aggregation
+from .neighbours import offsets
 
 
 class IncompleteScanConfiguration(ValueError):
@@ -112,26 +114,29 @@ class RandomAnchors:
 
 @dataclass
 class PoissonDisk:
-    """Anchors at least min_dist apart: candidates in a random order that win against all near ones before them, in rounds."""
+    """Anchors at least min_dist apart, so many that none more fits: every place has a random rank, and a place stays that is the first among those near it.
+
+    In rounds: a place of the smallest rank within min_dist is kept and its neighbours go.  Places are joined by cells
+    of a grid, so a round is one aggregation; the field may have any size.
+    """
 
     min_dist: float
     seed: int = 0
-    candidates: int = 2000
 
     def anchors(self, spark, shape, size, boundary="drop"):
-        import numpy as np
-
-        r = np.random.default_rng(self.seed)
         top = [max(shape[k] - size[k] + 1, 1) for k in (0, 1)]
-        kept: list[tuple[int, int]] = []
-        grid: dict[tuple[int, int], list] = {}
-        d = self.min_dist
-        for y, x in zip(r.integers(0, top[0], self.candidates).tolist(), r.integers(0, top[1], self.candidates).tolist(), strict=True):
-            cy, cx = int(y // d), int(x // d)
-            if all(math.hypot(y - a, x - b) >= d for i in (-1, 0, 1) for j in (-1, 0, 1) for a, b in grid.get((cy + i, cx + j), ())):
-                kept.append((y, x))
-                grid.setdefault((cy, cx), []).append((y, x))
-        return spark.createDataFrame(kept, "ay long, ax long")
+        r = math.ceil(self.min_dist)
+        near = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if math.hypot(dy, dx) < self.min_dist]
+        left = spark.range(top[0] * top[1]).select(F.floor(F.col("id") / top[1]).alias("y"), (F.col("id") % top[1]).alias("x"), F.xxhash64(F.lit(self.seed), "id").alias("rank"), "id")
+        kept = None
+        while True:
+            first = offsets(left.withColumn("v", F.struct("rank", "id")), near).groupBy("y", "x").agg(F.min("v").alias("first"))
+            won = stash(left.join(first, ["y", "x"]).where("first.id = id").select("y", "x"), "won")
+            kept = won if kept is None else kept.unionAll(won)
+            gone = offsets(won.withColumn("v", F.lit(1)), near).select("y", "x").distinct()
+            left = stash(left.join(gone, ["y", "x"], "left_anti"), "left")
+            if left.isEmpty():
+                return kept.select(F.col("y").alias("ay"), F.col("x").alias("ax"))
 
 
 @dataclass
@@ -214,9 +219,13 @@ class SpatialPatcher:
             mirror = lambda place, n, m: F.filter(F.array(F.col(place), 2 * (n - 1) - F.col(place)), lambda p: (p == F.col(place)) | ((p >= n) & (p < m)))
             return rows.withColumn("_y", F.explode(F.array_distinct(mirror("_y", shape[0], far[0])))).withColumn("_x", F.explode(F.array_distinct(mirror("_x", shape[1], far[1]))))
         spark = rows.sparkSession
-        frame = spark.range(far[0] * far[1]).select(F.floor(F.col("id") / far[1]).alias("_y"), (F.col("id") % far[1]).alias("_x")).where((F.col("_y") >= shape[0]) | (F.col("_x") >= shape[1]))
-        groups = rows.select(*by).distinct() if by else None
-        frame = groups.join(F.broadcast(frame)) if by else frame
+        if by:
+            # the frame follows from each group by arithmetic
+            axis = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+            frame = rows.select(*by).distinct().withColumn("_y", F.explode(axis(far[0]))).withColumn("_x", F.explode(axis(far[1])))
+        else:
+            frame = spark.range(far[0] * far[1]).select(F.floor(F.col("id") / far[1]).alias("_y"), (F.col("id") % far[1]).alias("_x"))
+        frame = frame.where((F.col("_y") >= shape[0]) | (F.col("_x") >= shape[1]))
         return rows.unionByName(frame.select(*by, F.col("_y").alias("y"), F.col("_x").alias("x"), F.lit(self.pad_value).alias("v"), "_y", "_x"))
 
     def anchors(self, spark: SparkSession, shape) -> DataFrame:

@@ -12,6 +12,7 @@ from ..checkpoints import stash
 from ..functions.numeric import percentile, valid
 from .components import components
 from .neighbours import offsets
+from .numbering import numbered
 
 #: Cells of a scene's row in a cell's number.
 _WIDE = 1 << 31
@@ -31,7 +32,7 @@ def label_components(df: DataFrame, mask: Column, connectivity: int = 1, min_are
     comp = components(links)
     rows = cells.join(comp, cells.id == comp.node, "left").select("y", "x", F.coalesce("component", "id").alias("root"))
     size = rows.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_area)
-    number = size.select("root", F.row_number().over(W.orderBy("root")).alias("label"))
+    number = numbered(size.select("root"), ["root"]).withColumn("label", F.col("label").cast("int"))
     return rows.join(number, "root").select("y", "x", "label")
 
 
@@ -135,16 +136,45 @@ def convert_column_units(v: Column, gas: str = "CH4", units_in: str = "ppm_m", u
     return v * F.lit(to_mol[units_in] / to_mol[units_out])
 
 
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of the convex hull, by two monotone chains."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+
+    def chain(ps):
+        out: list[tuple[float, float]] = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return chain(points) + chain(points[::-1])
+
+
 def plume_length(cells: DataFrame, pixel: float = 1.0) -> DataFrame:
     """One row `length`: the largest distance between cells of the mask; of one cell the root of its area.
 
-    The farthest cells are ends of a row, so only these are compared, each with the others by the row's number.
+    The farthest cells are corners of the convex hull.  Of the rows' ends each partition leaves its hull's corners, of
+    which a field of n cells a side has some n ** (2/3) at most, and these are compared.
     """
-    ends = cells.groupBy("y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    side = ends.select("y", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"))
-    rows = side.agg(F.collect_list(F.struct("y", "x")).alias("_e"))
-    far = side.join(F.broadcast(rows)).select(F.array_max(F.transform("_e", lambda e: F.hypot(e["y"] - F.col("y"), e["x"] - F.col("x")))).alias("d"))
-    return far.agg((F.greatest(F.max("d"), F.lit(0.0)) * pixel).alias("length")).select(F.when(F.col("length") > 0, F.col("length")).otherwise(F.lit(pixel)).alias("length"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        corners: list[tuple[float, float]] = []
+        for b in batches:
+            y, lo, hi = (b.column(c).to_pylist() for c in ("y", "lo", "hi"))
+            corners = _hull([*corners, *zip(y, lo, strict=True), *zip(y, hi, strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in corners], pa.float64()), pa.array([p[1] for p in corners], pa.float64())], ["y", "x"])
+
+    ends = cells.groupBy("y").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).select(*[F.col(c).cast("double").alias(c) for c in ("y", "lo", "hi")])
+    corners = ends.mapInArrow(run, "y double, x double")
+    corners = corners.coalesce(1).select("y", F.col("x").alias("lo"), F.col("x").alias("hi")).mapInArrow(run, "y double, x double")
+    all_ = corners.agg(F.collect_list(F.struct("y", "x")).alias("e"))
+    far = all_.select(F.array_max(F.transform("e", lambda a: F.array_max(F.transform("e", lambda b: F.hypot(a["y"] - b["y"], a["x"] - b["x"]))))).alias("d"))
+    return far.select((F.coalesce("d", F.lit(0.0)) * pixel).alias("length")).select(F.when(F.col("length") > 0, F.col("length")).otherwise(F.lit(pixel)).alias("length"))
 
 
 def ime_estimate(df: DataFrame, mask: Column, wind_speed: float, pixel_area: float = 1.0, uncertainty: float = 0.3, v: str = "v") -> DataFrame:
@@ -202,7 +232,7 @@ def merge_nearby_instances(labels: DataFrame, distance: float = 40.0, low: float
     links = pairs.where((iou > low) & (iou < high)).select(F.col("l.label").alias("a"), F.col("r.label").alias("b"))
     comp = components(links)
     root = box.select("label").join(comp, box.label == comp.node, "left").select("label", F.coalesce("component", "label").alias("root"))
-    number = root.select("root").distinct().select("root", F.row_number().over(W.orderBy("root")).alias("merged"))
+    number = numbered(root.select("root").distinct(), ["root"], "merged")
     return labels.join(root.join(number, "root").select("label", "merged"), "label").select("y", "x", F.col("merged").alias("label"))
 
 
@@ -213,7 +243,7 @@ def mask_nms(masks: DataFrame, scores: DataFrame | None = None, threshold: float
     """
     area = masks.groupBy("id").agg(F.count("*").alias("area"))
     rank = (area if scores is None else area.join(scores, "id")).select("id", "area", (F.col("area").cast("double") if scores is None else F.col("score")).alias("s"))
-    rank = stash(rank.withColumn("rank", F.row_number().over(W.orderBy(F.desc("s"), "id"))), "rank")
+    rank = stash(numbered(rank, [F.desc("s"), F.col("id")], "rank"), "rank")
     a = masks.join(rank, "id").select("y", "x", F.col("rank").alias("ra"), F.col("area").alias("na"))
     b = masks.join(rank, "id").select("y", "x", F.col("rank").alias("rb"), F.col("area").alias("nb"))
     hits = a.join(b, ["y", "x"]).where("ra < rb").groupBy("ra", "rb", "na", "nb").agg(F.count("*").alias("n")).where(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) > threshold).select("ra", "rb")
@@ -228,6 +258,6 @@ def mask_nms(masks: DataFrame, scores: DataFrame | None = None, threshold: float
         left = stash(left.join(safe, "rank", "left_anti").join(gone, "rank", "left_anti"), "left")
         if left.isEmpty():
             break
-    number = kept.select("rank", F.row_number().over(W.orderBy("rank")).alias("label"))
+    number = numbered(kept.select("rank"), ["rank"]).withColumn("label", F.col("label").cast("int"))
     cells = masks.join(rank, "id").join(number, "rank")
     return cells.groupBy("y", "x").agg(F.min("label").alias("label"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import valid
 from .neighbours import (  # noqa: F401
+    adaptive_background,
     despeckle_frost,
     despeckle_lee,
     destripe,
     gap_fill_idw,
     gap_fill_nearest,
     gaussian_denoise,
-    local_mean_variance,
     median_denoise,
 )
 

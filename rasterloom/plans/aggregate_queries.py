@@ -86,7 +86,7 @@ add("agg_mean_std", lambda s, d: ag.mean_std(_PATCH(s, d)).select(tidy(F.col("me
 add("agg_min_max", lambda s, d: ag.min_max(_PATCH(s, d).withColumn("v", F.when((F.col("anchor") == 3) & (F.col("y") == 5), F.lit(float("nan"))).otherwise(F.col("v")))), f"select min(nir) min, max(nir) max from {PX} where scene <> 3")
 add("agg_by_index", lambda s, d: ag.SpatialByIndex().merge(px(s, d).select(F.col("scene").alias("anchor"), "y", "x", F.col("nir").alias("v"), F.struct("qa", "nir").alias("o")), "o"), f"select scene anchor, y, x, last(nir order by qa, nir) v from {PX} group by 1, 2, 3")
 add("agg_two_pass", lambda s, d: _v(ag.two_pass(_PATCH(s, d), {"m": F.avg("v"), "s": F.stddev_pop("v")}, lambda v, m, sd: (v - m) / sd, ag.SpatialMean()), "y", "x"), f"with q as (select avg(nir) m, stddev_pop(nir) s from {PX}) select y, x, round(avg((nir - m) / s), 6) + 0.0 v from {PX}, q group by 1, 2")
-add("agg_uncovered_cells", lambda s, d: _v(ag.SpatialSum().merge(_PATCH(s, d).where("y < 10"), geom.full_grid(s, (64, 64))), "y", "x"), f"select g.y, g.x, round(coalesce(p.v, 0), 6) + 0.0 v from {DEM} g left join (select y, x, sum(nir) v from {PX} where y < 10 group by 1, 2) p using (y, x)")
+add("agg_uncovered_cells", lambda s, d: _v(ag.SpatialSum().merge(_PATCH(s, d).where("v > 0.9"), geom.full_grid(s, (64, 64))), "y", "x"), f"select g.y, g.x, round(coalesce(p.v, 0), 6) + 0.0 v from {DEM} g left join (select y, x, sum(nir) v from {PX} where nir > 0.9 group by 1, 2) p using (y, x)")
 add("agg_approx_quantile", lambda s, d: ag.SpatialApproxQuantile(0.5).merge(_PATCH(s, d)))
 add("agg_approx_cardinality", lambda s, d: ag.SpatialApproxCardinality().merge(_PATCH(s, d), by=("anchor",)))
 add("agg_approx_mode", lambda s, d: ag.SpatialApproxMode(4).merge(px(s, d).select("scene", (F.col("qa") % 7).cast("double").alias("v")), by=("scene",)).select("scene", F.size("v").alias("n")))
@@ -143,40 +143,56 @@ add("plume_sbmp", lambda s, d: _v(rg.sbmp(px(s, d).where("scene = 0").groupBy("y
 add("plume_sbmp_reference", lambda s, d: _v(rg.sbmp(*(lambda g: (g(0), "a", "b", g(1)))(lambda k: px(s, d).where(F.col("scene") == k).groupBy("y", "x").agg((F.avg("swir") + 1).alias("a"), (F.avg("swir2") + 1).alias("b")))), "y", "x"), f"with g as (select scene, y, x, avg(swir) + 1 a, avg(swir2) + 1 b from {PX} where scene < 2 group by all) select p.y, p.x, round(ln((p.b + 1e-10) / (p.a + 1e-10)) - ln((q.b + 1e-10) / (q.a + 1e-10)), 6) + 0.0 v from g p join g q using (y, x) where p.scene = 0 and q.scene = 1")
 
 # backgrounds and matched filters
-_T = np.array([1.0 + 0.5 * np.sin(b) for b in range(6)])
-_arr = lambda s, d: bg.to_arrays(cube(s, d).where("band < 6"), ["pixel", "label"])
-_ALL_T = np.array([1.0 + 0.5 * np.sin(b) for b in range(64)])
-_all = lambda s, d: bg.to_arrays(cube(s, d), ["pixel", "label"])
+_T = np.array([1.0 + 0.5 * np.sin(b) for b in range(64)])
+_arr = lambda s, d: bg.to_arrays(cube(s, d), ["pixel", "label"])
+_COV = f"(select a.band i, b.band j, covar_samp(a.v, b.v) c, count(*) n from {CUBE} a join {CUBE} b using (pixel) group by 1, 2)"
 
 
-@query("mf_mean_cov", f"with w as (select a.pixel, a.band i, b.band j, a.v x, b.v y from {CUBE} a join {CUBE} b using (pixel) where a.band < 6 and b.band < 6) select i, j, round(covar_samp(x, y), 6) + 0.0 c from w group by 1, 2")
-def mf_mean_cov(spark, sf_dir):
-    _, cov, _ = bg.mean_cov(_arr(spark, sf_dir), 6)
-    rows = [(i, j, float(cov[i, j])) for i in range(6) for j in range(6)]
+def _matrix(spark, cov):
+    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(len(cov))]
     return spark.createDataFrame(rows, "i long, j long, c double").select("i", "j", tidy(F.col("c")).alias("c"))
 
 
+@query("mf_mean_cov", f"select i, j, round(c, 6) + 0.0 c from {_COV}")
+def mf_mean_cov(spark, sf_dir):
+    return _matrix(spark, bg.mean_cov(_arr(spark, sf_dir), 64)[1])
+
+
+def _shrunk(method):
+    def run(spark, sf_dir):
+        _, cov, n = bg.mean_cov(_arr(spark, sf_dir), 64)
+        return _matrix(spark, bg.shrink_covariance(cov, n, method))
+
+    return run
+
+
+for _m, _sql in (("oas", "least(1, ((1 - 2 / 64e0) * q + t * t) / ((n + 1) * (q - t * t / 64)))"), ("ledoit_wolf", "least(1, (q + t * t / 64) / n / (q - t * t / 64))")):
+    add(f"mf_shrink_{_m}", _shrunk(_m), f"with c as {_COV}, s as (select sum(c) filter (i = j) t, sum(c * c) q, max(n) n from c), r as (select t, {_sql} r from s) select i, j, round((1 - r) * c + case when i = j then r * t / 64 else 0 end, 6) + 0.0 c from c, r")
+
+
+@query("mf_lowrank_cov")
+def mf_lowrank_cov(spark, sf_dir):
+    return _matrix(spark, bg.lowrank_covariance(bg.mean_cov(_arr(spark, sf_dir), 64)[1], 10))
+
+
 add("mf_mean", lambda s, d: bg.estimate_mean(cube(s, d), ["band"]).select("band", tidy(F.col("mean")).alias("m")), f"select band, round(avg(v), 6) + 0.0 m from {CUBE} group by 1")
 add("mf_median", lambda s, d: bg.estimate_mean(cube(s, d), ["band"], method="median").select("band", tidy(F.col("mean")).alias("m")), f"select band, round(median(v), 6) + 0.0 m from {CUBE} group by 1")
 add("mf_trimmed_mean", lambda s, d: bg.estimate_mean(cube(s, d), ["band"], method="trimmed", trim=0.1).select("band", tidy(F.col("mean")).alias("m")), f"select band, round(avg(v), 6) + 0.0 m from (select *, row_number() over (partition by band order by v) r, count(*) over (partition by band) n from {CUBE}) where r > floor(n * 0.1) and r <= n - floor(n * 0.1) group by 1")
 add("mf_huber_mean", lambda s, d: bg.huber_mean(cube(s, d), ["band"]).select("band", tidy(F.col("mean")).alias("m")))
 
 
-@query("mf_score", "WEIGHTS")
-def mf_score(spark, sf_dir):
-    scored = _arr(spark, sf_dir).withColumn("score", bg.apply_filter(F.col("bands"), np.full(6, 0.01), np.diag(np.arange(1.0, 7.0)), _T))
-    return scored.select("pixel", tidy(F.col("score")).alias("score"))
-
-
 def _score_sql():
-    w, offset, _ = bg.filter_weights(np.full(6, 0.01), np.diag(np.arange(1.0, 7.0)), _T)
+    w, offset, _ = bg.filter_weights(np.full(64, 0.01), np.diag(np.arange(1.0, 65.0)), _T)
     case = " ".join(f"when {b} then {float(k)!r}::double" for b, k in enumerate(w))
-    return f"select pixel, round(sum(v * case band {case} end) - {offset!r}::double, 6) + 0.0 score from {CUBE} where band < 6 group by 1"
+    return f"select pixel, round(sum(v * case band {case} end) - {offset!r}::double, 6) + 0.0 score from {CUBE} group by 1"
+
 
+@query("mf_score", _score_sql())
+def mf_score(spark, sf_dir):
+    scored = _arr(spark, sf_dir).withColumn("score", bg.apply_filter(F.col("bands"), np.full(64, 0.01), np.diag(np.arange(1.0, 65.0)), _T))
+    return scored.select("pixel", tidy(F.col("score")).alias("score"))
 
-from . import registry as _registry  # noqa: E402
 
-_registry._SQL["mf_score"] = _score_sql()
-add("mf_matched_filter", lambda s, d: bg.MatchedFilter(_ALL_T)(_all(s, d)).select("pixel", tidy(F.col("score")).alias("score")))
-add("mf_cluster_filter", lambda s, d: bg.cluster_filter(_all(s, d), _ALL_T).select("pixel", "label", tidy(F.col("score")).alias("score")))
-add("mf_pca_scores", lambda s, d: _all(s, d).select("pixel", F.transform(bg.project(F.col("bands"), *bg.pca(_all(s, d), 64, 2)), lambda v: F.round(v, 6)).alias("scores")))
+add("mf_matched_filter", lambda s, d: bg.MatchedFilter(_T)(_arr(s, d)).select("pixel", tidy(F.col("score")).alias("score")))
+add("mf_cluster_filter", lambda s, d: bg.cluster_filter(_arr(s, d), _T).select("pixel", "label", tidy(F.col("score")).alias("score")))
+add("mf_pca_scores", lambda s, d: _arr(s, d).select("pixel", F.transform(bg.project(F.col("bands"), *bg.pca(_arr(s, d), 64, 2)), lambda v: F.round(v, 6)).alias("scores")))

@@ -15,8 +15,9 @@ from ..sources.catalog import Catalog
 from .fixtures import CAT, CAT_B, PTS, cat, cat_b, pts, table
 from .registry import add, query
 
-_AOI, _T = (-10.0, -10.0, 10.0, 10.0), (dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31))
-_HIT = "xmin <= 10 and xmax >= -10 and ymin <= 10 and ymax >= -10"
+_AOI, _T = (-140.0, -40.0, -40.0, 40.0), (dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31))
+_HIT = "xmin <= -40 and xmax >= -140 and ymin <= 40 and ymax >= -40"
+_NEAR_ZERO = "xmin <= 20 and xmax >= -20 and ymin <= 20 and ymax >= -20"
 _WHEN = "end_time >= timestamp '1996-01-01' and start_time <= timestamp '1997-12-31'"
 _ROW = "filepath, xmin, ymin, xmax, ymax, start_time, end_time"
 
@@ -62,14 +63,14 @@ add(
     lambda s, d: cat(s, d).select("filepath", slices.is_grid_aligned({"crs": F.lit("a"), "rx": F.lit(0.75), "ry": F.lit(0.75), "x0": F.col("xmin"), "y0": F.col("ymin")}, {"crs": F.lit("a"), "rx": F.lit(0.75), "ry": F.lit(0.75), "x0": F.lit(0.0), "y0": F.lit(0.0)}).alias("v")),
     f"select filepath, abs((xmin / 0.75e0 - round_even(xmin / 0.75e0, 0)) * 0.75e0) <= 1e-3 and abs((ymin / 0.75e0 - round_even(ymin / 0.75e0, 0)) * 0.75e0) <= 1e-3 v from {CAT}",
 )
-add("box_iou", lambda s, d: cat(s, d).select("filepath", tidy(boxes.iou(boxes.box(), tuple(F.lit(k) for k in (-20.0, -20.0, 20.0, 20.0)))).alias("v")), f"select filepath, round(case when {_HIT.replace('10', '20')} then greatest(least(xmax, 20) - greatest(xmin, -20), 0) * greatest(least(ymax, 20) - greatest(ymin, -20), 0) else 0 end / ((xmax - xmin) * (ymax - ymin) + 1600 - case when {_HIT.replace('10', '20')} then greatest(least(xmax, 20) - greatest(xmin, -20), 0) * greatest(least(ymax, 20) - greatest(ymin, -20), 0) else 0 end), 6) + 0.0 v from {CAT}")
+add("box_iou", lambda s, d: cat(s, d).select("filepath", tidy(boxes.iou(boxes.box(), tuple(F.lit(k) for k in (-20.0, -20.0, 20.0, 20.0)))).alias("v")), f"select filepath, round(case when {_NEAR_ZERO} then greatest(least(xmax, 20) - greatest(xmin, -20), 0) * greatest(least(ymax, 20) - greatest(ymin, -20), 0) else 0 end / ((xmax - xmin) * (ymax - ymin) + 1600 - case when {_NEAR_ZERO} then greatest(least(xmax, 20) - greatest(xmin, -20), 0) * greatest(least(ymax, 20) - greatest(ymin, -20), 0) else 0 end), 6) + 0.0 v from {CAT}")
 add("geo_mercator", lambda s, d: cat(s, d).select("filepath", *[tidy(c, 3).alias(n) for c, n in zip(boxes.to_mercator(F.col("xmin"), F.col("ymin")), "xy", strict=True)]), f"select filepath, round(radians(xmin) * 6378137, 3) + 0.0 x, round(ln(tan(pi() / 4 + radians(ymin) / 2)) * 6378137, 3) + 0.0 y from {CAT}")
 add("geo_mercator_back", lambda s, d: cat(s, d).select("filepath", *[tidy(c).alias(n) for c, n in zip(boxes.from_mercator(*boxes.to_mercator(F.col("xmin"), F.col("ymin"))), "xy", strict=True)]), f"select filepath, xmin + 0.0 x, ymin + 0.0 y from {CAT}")
 add("geo_affine", lambda s, d: cat(s, d).select("filepath", *[tidy(c).alias(n) for c, n in zip(boxes.inverse((10.0, 0.0, 500.0, 0.0, -10.0, 4000.0), F.col("xmin"), F.col("ymin")), ("c", "r"), strict=True)]), f"select filepath, round((xmin - 500) / 10e0, 6) + 0.0 c, round((ymin - 4000) / -10e0, 6) + 0.0 r from {CAT}")
 add("catalog_hilbert_key", lambda s, d: cat(s, d).select("filepath", boxes.curve_key(F.col("xmin"), F.col("ymin")).alias("key")))
 
 _MID = "(epoch_us({0}.start_time) + epoch_us({0}.end_time)) / 2e0 / 1e6"
-_CAND = f"select p.id pid, s.id sid, {_MID.format('s')} - {_MID.format('p')} off, p.xmin pxmin, p.ymin pymin, p.xmax pxmax, p.ymax pymax, s.* from {CAT} p join {CAT_B} s on p.xmin <= s.xmax and p.xmax >= s.xmin and p.ymin <= s.ymax and p.ymax >= s.ymin where p.id % 3 = 2"
+_CAND = f"select p.id pid, s.id sid, {_MID.format('s')} - {_MID.format('p')} off, p.xmin pxmin, p.ymin pymin, p.xmax pxmax, p.ymax pymax, s.* from {CAT} p join {CAT_B} s on p.xmin <= s.xmax and p.xmax >= s.xmin and p.ymin <= s.ymax and p.ymax >= s.ymin"
 _NEAR = f"select * from (select *, row_number() over (partition by pid order by abs(off), sid) n from ({_CAND}) where abs(off) <= 20000000) where n = 1"
 
 
@@ -78,7 +79,7 @@ def _pairs(df):
 
 
 def _match(spatial, temporal):
-    return lambda s, d: _pairs(mu.matchup(cat(s, d).where("id % 3 = 2"), {"b": cat_b(s, d)}, spatial=spatial, temporal=temporal))
+    return lambda s, d: _pairs(mu.matchup(cat(s, d), {"b": cat_b(s, d)}, spatial=spatial, temporal=temporal))
 
 
 _OUT = "select pid p, sid s, round(off, 6) + 0.0 off from"
@@ -96,17 +97,33 @@ def _roles(s, d):
     return {"x": b.where("id % 2 = 0"), "y": b.where("id % 2 = 1")}
 
 
+def _wide(df):
+    """Boxes six degrees larger on each side, so that both roles match somewhere in the smallest tables too."""
+    return df.withColumns({c: F.col(c) + (6.0 if c in ("xmax", "ymax") else -6.0) for c in boxes.BOX})
+
+
 def _two(join):
-    return lambda s, d: mu.matchup(cat(s, d).where("id % 3 = 2"), _roles(s, d), spatial=mu.Intersects(), temporal=mu.NearestInTime(2e7), join=join).select(F.col("member_ids")[0].alias("p"), F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("ids"))
+    return lambda s, d: mu.matchup(_wide(cat(s, d)), _roles(s, d), spatial=mu.Intersects(), temporal=mu.NearestInTime(2e7), join=join).select(F.col("member_ids")[0].alias("p"), F.array_join(F.col("member_ids").cast("array<string>"), ",").alias("ids"))
 
 
-_ROLE = "(select pid, sid from (select *, row_number() over (partition by pid order by abs(off), sid) n from (" + _CAND + ") where abs(off) <= 20000000 and sid % 2 = {0}) where n = 1)"
+_WIDE = _CAND.replace(f"from {CAT} p", f"from (select * replace (xmin - 6 as xmin, ymin - 6 as ymin, xmax + 6 as xmax, ymax + 6 as ymax) from {CAT}) p")
+_ROLE = "(select pid, sid from (select *, row_number() over (partition by pid order by abs(off), sid) n from (" + _WIDE + ") where abs(off) <= 20000000 and sid % 2 = {0}) where n = 1)"
 add("match_all_roles", _two("all"), f"select x.pid p, x.pid || ',' || x.sid || ',' || y.sid ids from {_ROLE.format(0)} x join {_ROLE.format(1)} y using (pid)")
 add("match_any_role", _two("any"), f"select coalesce(x.pid, y.pid) p, concat_ws(',', coalesce(x.pid, y.pid), x.sid, y.sid) ids from {_ROLE.format(0)} x full join {_ROLE.format(1)} y using (pid)")
 
-add("join_radius", lambda s, d: joins.radius_join(pts(s, d).where("id % 7 = 0"), pts(s, d).where("id % 5 = 0"), 1.5).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), tidy(F.col("distance")).alias("dist")), f"select a.id a, b.id b, round(sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)), 6) + 0.0 dist from {PTS} a join {PTS} b on sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) <= 1.5e0 where a.id % 7 = 0 and b.id % 5 = 0")
-add("join_knn", lambda s, d: joins.knn_join(pts(s, d).where("id % 50 = 0"), pts(s, d).where("id % 3 = 0"), 4, 4.0).select(F.col("l.id").alias("a"), "rank", tidy(F.col("distance")).alias("dist")), f"select a, \"rank\", round(dist, 6) + 0.0 dist from (select a.id a, sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) dist, row_number() over (partition by a.id order by sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)), b.id)::int \"rank\" from {PTS} a, {PTS} b where a.id % 50 = 0 and b.id % 3 = 0) where \"rank\" <= 4")
-add("join_asof", lambda s, d: joins.asof_join(pts(s, d).where("id % 5 = 0").select("id", "kind", "ts"), pts(s, d).where("id % 5 = 1"), ["kind"], "ts", ["value"], 3600.0).select("id", tidy(F.col("right_value")).alias("v")), f"with a as (select * from {PTS} where id % 5 = 0), b as (select kind, ts, max(value) v, count(*) n from {PTS} where id % 5 = 1 group by 1, 2) select a.id, case when epoch_us(a.ts) - epoch_us(b.ts) <= 3600000000 then round(b.v, 6) + 0.0 end v from a asof left join b on a.kind = b.kind and a.ts >= b.ts")
+add("join_radius", lambda s, d: joins.radius_join(pts(s, d), pts(s, d), 0.5).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), tidy(F.col("distance")).alias("dist")), f"select a.id a, b.id b, round(sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)), 6) + 0.0 dist from {PTS} a join {PTS} b on sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) <= 0.5e0")
+# in SQL, all of the four nearest are known to lie within 8
+add("join_knn", lambda s, d: joins.knn_join(pts(s, d), pts(s, d), 4, 0.5).select(F.col("l.id").alias("a"), "rank", tidy(F.col("distance")).alias("dist")), f"select a, \"rank\", round(dist, 6) + 0.0 dist from (select a.id a, sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)) dist, row_number() over (partition by a.id order by sqrt(power(a.px - b.px, 2) + power(a.py - b.py, 2)), b.id)::int \"rank\" from {PTS} a join {PTS} b on b.px between a.px - 8 and a.px + 8 and b.py between a.py - 8 and a.py + 8) where \"rank\" <= 4")
+
+
+@query("join_asof", f"with b as (select kind, ts + interval 1 minute ts, value v from {PTS}) select a.id, case when epoch_us(a.ts) - epoch_us(b.ts) <= 3600000000 then round(b.v, 6) + 0.0 end v from {PTS} a asof left join b on a.kind = b.kind and a.ts >= b.ts")
+def join_asof(spark, sf_dir):
+    """Each event with the latest of its kind that is a minute old at least and an hour at most beyond that."""
+    p = pts(spark, sf_dir)
+    older = p.select("kind", (F.col("ts") + F.make_dt_interval(mins=F.lit(1))).alias("ts"), "value")
+    return joins.asof_join(p.select("id", "kind", "ts"), older, ["kind"], "ts", ["value"], 3600.0).select("id", tidy(F.col("right_value")).alias("v"))
+
+
 _HAV = "2 * 6371e0 * asin(sqrt(least(power(sin(radians(py - 30) / 2), 2) + cos(radians(30)) * cos(radians(py)) * power(sin(radians(px - 20) / 2), 2), 1)))"
 add("join_spherical_cap", lambda s, d: pts(s, d).select("id", boxes.haversine(F.lit(20.0), F.lit(30.0), F.col("px"), F.col("py")).alias("km")).where("km <= 1500").select("id", tidy(F.col("km"), 3).alias("km")), f"select id, round({_HAV}, 3) + 0.0 km from {PTS} where {_HAV} <= 1500")
 

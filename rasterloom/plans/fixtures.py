@@ -35,13 +35,16 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px(spark, sf_dir).groupBy("y", "x").agg(F.avg("nir").alias("v"), F.avg("red").alias("r"), F.avg("green").alias("g"), F.avg("blue").alias("b"), F.count("*").alias("n"))
 
 
-DEM = "(select y, x, ((y * y + 3 * x) % 97) * 1e0 v from range(64) a(y), range(64) b(x))"
+DEM = """(select y, x, ((y * y + 3 * x + coalesce(q, 0)) % 97) * 1e0 v from range(64) a(y) cross join range(64) b(x)
+  left join (select l_orderkey % 64 y, l_partkey % 64 x, sum(l_quantity)::bigint q from lineitem group by 1, 2) c using (y, x))"""
 
 
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = spark.range(64 * 64)
-    y, x = F.floor(F.col("id") / 64), F.col("id") % 64
-    return cell.select(y.alias("y"), x.alias("x"), ((y * y + 3 * x) % 97).cast("double").alias("v"))
+    """A field without gaps, 64 x 64, of which every value comes from all rows of its cell."""
+    c = F.col
+    q = table(spark, sf_dir, "lineitem").groupBy((c("l_orderkey") % 64).alias("y"), (c("l_partkey") % 64).alias("x")).agg(F.sum("l_quantity").cast("long").alias("q"))
+    cell = spark.range(64 * 64).select(F.floor(c("id") / 64).alias("y"), (c("id") % 64).alias("x"))
+    return cell.join(q, ["y", "x"], "left").select("y", "x", ((c("y") * c("y") + 3 * c("x") + F.coalesce("q", F.lit(0))) % 97).cast("double").alias("v"))
 
 
 CAT = """(select 'scene_' || o_orderkey || '.tif' filepath, o_orderkey id, (o_custkey % 360 - 180) * 1e0 xmin, (o_orderkey % 170 - 85) * 1e0 ymin,

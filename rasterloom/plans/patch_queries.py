@@ -60,7 +60,7 @@ def _centred(patches):
     return ag.SpatialMean().merge(m).select("y", "x", tidy(F.col("v"), 9).alias("v"))
 
 
-_HIT = f"(select distinct id % 8 scene from {CAT} where xmin <= 10 and xmax >= -10 and ymin <= 10 and ymax >= -10 and end_time >= timestamp '1996-01-01' and start_time <= timestamp '1997-12-31')"
+_HIT = f"(select distinct id % 8 scene from {CAT} where xmin <= -40 and xmax >= -140 and ymin <= 40 and ymax >= -40 and end_time >= timestamp '1996-01-01' and start_time <= timestamp '1997-12-31')"
 _FIELD = f"(select y, x, avg((nir - red) / (nir + red + 1e-10)) v from {PX} join {_HIT} using (scene) group by 1, 2)"
 
 
@@ -69,7 +69,7 @@ def patch_overlap_add(spark, sf_dir):
     """Catalogue rows of a place and time, NDVI of their scenes' pixels, stitched from overlapping Hann windows."""
     import datetime as dt
 
-    hits = Catalog(cat(spark, sf_dir)).query(bounds=(-10, -10, 10, 10), time=(dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31)))
+    hits = Catalog(cat(spark, sf_dir)).query(bounds=(-140, -40, -40, 40), time=(dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31)))
     scenes = hits.df.select((F.col("id") % 8).alias("scene")).distinct()
     field = NDVI(out="v")(px(spark, sf_dir).join(F.broadcast(scenes), "scene")).groupBy("y", "x").agg(F.avg("v").alias("v"))
     return _merged(field, ag.SpatialOverlapAdd())
@@ -89,14 +89,13 @@ def _series(s, d):
     return px(s, d).groupBy("scene", day.alias("t")).agg(F.avg("nir").alias("v"))
 
 
-_T = "select a.scene, a.t \"at\", b.t, b.t - a.t + {1} k, b.v from " + _SERIES + " a join " + _SERIES + " b on a.scene = b.scene and b.t between a.t - {1} and a.t + {2} where a.t % 30 = 0 and a.t between 0 and 2400"
-_anchor = lambda: (F.col("at") % 30 == 0) & F.col("at").between(0, 2400)
+_T = "select a.scene, a.t \"at\", b.t, b.t - a.t + {1} k, b.v from " + _SERIES + " a join " + _SERIES + " b on a.scene = b.scene and b.t between a.t - {1} and a.t + {2}"
 
 
 def _split(s, d, before, after):
     own = _series(s, d)
-    anchors = own.select("scene", F.col("t").alias("at")).where(_anchor())
-    return pt.temporal_split(own, ["scene"], before, after, _anchor()).join(anchors, ["scene", "at"], "left_semi")
+    anchors = own.select("scene", F.col("t").alias("at"))
+    return pt.temporal_split(own, ["scene"], before, after, F.lit(True)).join(anchors, ["scene", "at"], "left_semi")
 
 
 add("time_split", lambda s, d: _split(s, d, 6, 3).select("scene", "at", "t", "k", tidy(F.col("v"), 9).alias("v")), f"select scene, \"at\", t, k, round(v, 9) + 0.0 v from ({_T.format('', 6, 3)})")
@@ -105,11 +104,11 @@ add("time_forecast", lambda s, d: ag.temporal_forecast(_split(s, d, 6, 3).withCo
 for _n, _f, _sql in (("lookback", pt.lookback(5), "4 preceding and current row"), ("lookback_horizon", pt.lookback_horizon(4, 2), "3 preceding and 2 following"), ("phase", pt.phase_window(3), "3 preceding and 3 following")):
     add(f"time_{_n}", lambda s, d, f=_f: pt.frame(_series(s, d), ["scene"], ["t"], *f, m=F.avg("v"), n=F.count("*")).select("scene", "t", tidy(F.col("m"), 9).alias("m"), "n"), f"select scene, t, round(avg(v) over w, 9) + 0.0 m, count(*) over w n from {_SERIES} window w as (partition by scene order by t rows between {_sql})")
 add("time_multi_scale", lambda s, d: pt.frame(pt.frame(_series(s, d), ["scene"], ["t"], -2, 0, a=F.avg("v")), ["scene"], ["t"], -6, 0, b=F.avg("v")).select("scene", "t", tidy(F.col("a"), 4).alias("a"), tidy(F.col("b"), 4).alias("b")), f"select scene, t, round(avg(v) over (partition by scene order by t rows between 2 preceding and current row), 4) + 0.0 a, round(avg(v) over (partition by scene order by t rows between 6 preceding and current row), 4) + 0.0 b from {_SERIES}")
-add("time_stencil", lambda s, d: pt.Stencil(-6, 6, 3, "both").sample(_series(s, d), ["scene"], _series(s, d).where("t % 50 = 0")).select("scene", F.col("origin").cast("long").alias("origin"), "k", tidy(F.col("v"), 9).alias("v")), f"select a.scene, a.t origin, k::int k, round(b.v, 9) + 0.0 v from {_SERIES} a, range(5) r(k), {_SERIES} b where a.t % 50 = 0 and b.scene = a.scene and b.t = a.t - 6 + 3 * k")
-add("time_stencil_origins", lambda s, d: pt.Stencil(-30, 10, 5).valid_origins(_series(s, d).where("scene = 1")).select("t"), f"with s as (select * from {_SERIES} where scene = 1), e as (select min(t) lo, max(t) hi from s) select t from s, e where t - 30 >= lo and t + 5 <= hi")
-add("time_fold", lambda s, d: ag.temporal_fold(_series(s, d).where("t < 200"), ["scene"], F.lit(0.0), lambda acc, v: acc * 0.5 + v).select("scene", tidy(F.col("v"), 9).alias("v")), f"with s as (select *, row_number() over (partition by scene order by t desc) n from {_SERIES} where t < 200) select scene, round(sum(v * power(0.5e0, n - 1)), 9) + 0.0 v from s group by 1")
+add("time_stencil", lambda s, d: pt.Stencil(-6, 6, 3, "both").sample(_series(s, d), ["scene"], _series(s, d)).select("scene", F.col("origin").cast("long").alias("origin"), "k", tidy(F.col("v"), 9).alias("v")), f"select a.scene, a.t origin, k::int k, round(b.v, 9) + 0.0 v from {_SERIES} a, range(5) r(k), {_SERIES} b where b.scene = a.scene and b.t = a.t - 6 + 3 * k")
+add("time_stencil_origins", lambda s, d: pt.Stencil(-30, 10, 5).valid_origins(_series(s, d)).select("scene", "t"), f"with s as (select * from {_SERIES}), e as (select min(t) lo, max(t) hi from s) select scene, t from s, e where t - 30 >= lo and t + 5 <= hi")
+add("time_fold", lambda s, d: ag.temporal_fold(_series(s, d), ["scene"], F.lit(0.0), lambda acc, v: acc * 0.5 + v).select("scene", tidy(F.col("v"), 9).alias("v")), f"with s as (select *, row_number() over (partition by scene order by t desc) n from {_SERIES}) select scene, round(sum(v * power(0.5e0, n - 1)), 9) + 0.0 v from s group by 1")
 add("time_hierarchical", lambda s, d: ag.hierarchical(_split(s, d, 6, 3).select(F.concat_ws("/", "scene", "at").alias("anchor"), F.lit("fine").alias("scale"), "t", "v")).select("anchor", F.size(F.element_at("scales", "fine")).alias("n")), f"select scene || '/' || \"at\" anchor, count(*)::int n from ({_T.format('', 6, 3)}) group by 1")
-add("time_spatio_temporal", lambda s, d: pt.spatio_temporal_product(_P.split(dem(s, d), _SHAPE).where("ay = 12 and ax = 10").select("ay", "ax", "y", "x"), px(s, d).select("y", "x", "scene", "nir")).groupBy("ay", "ax", "scene").agg(tidy(F.avg("nir")).alias("v")), f"select 12::bigint ay, 10::bigint ax, scene, round(avg(nir), 6) + 0.0 v from {PX} where y between 12 and 27 and x between 10 and 29 group by 3")
+add("time_spatio_temporal", lambda s, d: pt.spatio_temporal_product(_P.split(dem(s, d), _SHAPE).select("ay", "ax", "y", "x"), px(s, d).select("y", "x", "scene", "nir")).groupBy("ay", "ax", "scene").agg(tidy(F.avg("nir")).alias("v")), f"select ay, ax, scene, round(avg(nir), 6) + 0.0 v from {_A} a join {PX} on y between ay and ay + 15 and x between ax and ax + 19 group by 1, 2, 3")
 
 # samplers with a seed, journal and batches
 add("sample_jittered", lambda s, d: pt.JitteredStride((8, 8), 0.5, 3).anchors(s, _SHAPE, (8, 8)))

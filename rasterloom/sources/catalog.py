@@ -144,10 +144,11 @@ class Catalog:
 
 
 def _metadata(spark: SparkSession, path: str) -> dict | None:
-    try:
-        rows = spark.read.text(f"{path}/_catalog").limit(1).collect()
-    except Exception:
+    """What write() noted beside the rows; None for archives that have no such file."""
+    meta = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_catalog")
+    if any(c in path for c in "*?[{") or not meta.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta):
         return None
+    rows = spark.read.text(f"{path}/_catalog").limit(1).collect()
     return json.loads(rows[0][0]) if rows else None
 
 
