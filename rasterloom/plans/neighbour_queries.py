@@ -55,7 +55,7 @@ add("viz_hillshade", lambda s, d: viz.hillshade(dem(s, d)), f"select y, x, floor
 _HOLES = "(y * 7 + x * 11) % 13 = 0"
 _gaps = lambda s, d: dem(s, d).withColumn("v", F.when(F.expr(_HOLES), F.lit(float("nan"))).otherwise(F.col("v")))
 add("restore_gap_fill_idw", lambda s, d: restore.gap_fill_idw(_gaps(s, d), radius=2).select("y", "x", tidy(F.col("v")).alias("v")), f"with o as (select * from {DEM} where not {_HOLES}), g as (select y, x from {DEM} where {_HOLES}) select y, x, v + 0.0 v from o union all select g.y, g.x, round(sum(o.v / ((o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x))) / sum(1e0 / ((o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x))), 6) + 0.0 from g join o on o.y between g.y - 2 and g.y + 2 and o.x between g.x - 2 and g.x + 2 and (o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x) <= 4 group by 1, 2")
-add("restore_gap_fill_nearest", lambda s, d: restore.gap_fill_nearest(_gaps(s, d), max_distance=2).select("y", "x", tidy(F.col("v")).alias("v")))
+add("restore_gap_fill_nearest", lambda s, d: restore.gap_fill_nearest(_gaps(s, d), max_distance=2).select("y", "x", tidy(F.col("v")).alias("v")), f"with o as (select * from {DEM} where not {_HOLES}), g as (select y, x from {DEM} where {_HOLES}) select y, x, v + 0.0 v from o union all select g.y, g.x, first(o.v order by (o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x), o.y - g.y, o.x - g.x) + 0.0 from g join o on o.y between g.y - 2 and g.y + 2 and o.x between g.x - 2 and g.x + 2 and (o.y - g.y) * (o.y - g.y) + (o.x - g.x) * (o.x - g.x) <= 4 group by 1, 2")
 _GAPS = f"(select y, x, case when not ({_HOLES}) then v end v from {DEM})"
 _no_nan = lambda df, digits=6: df.select("y", "x", F.when(~F.isnan("v"), tidy(F.col("v"), digits)).alias("v"))
 
@@ -149,7 +149,7 @@ def mask_polygon(spark, sf_dir):
 
 add("geom_resample_nearest", lambda s, d: geom.resample(dem(s, d), (64, 64), (32, 16), "nearest"), f"select y // 2 y, x // 4 x, v from {DEM} where y % 2 = 1 and x % 4 = 2")
 add("geom_reproject_nearest", lambda s, d: geom.reproject(dem(s, d), (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), (2.0, 0.0, 10.0, 0.0, 2.0, 10.0), (20, 20)).select("y", "x", "v"), f"select (y - 11) // 2 y, (x - 11) // 2 x, v from {DEM} where y between 11 and 49 and x between 11 and 49 and y % 2 = 1 and x % 2 = 1")
-add("geom_bowtie", lambda s, d: geom.bowtie_correction(dem(s, d), (64, 64), 30.0))
+add("geom_bowtie", lambda s, d: geom.bowtie_correction(dem(s, d), (64, 64), 30.0), f"select g.y, g.x, d.v from {DEM} g left join {DEM} d on d.y = g.y and d.x = round_even(31.5e0 + (g.x - 31.5e0) * cos(radians((g.x - 31.5e0) / 31.5e0 * 30)), 0)::bigint")
 add("geom_profile_line", lambda s, d: geom.profile_line(dem(s, d), (3.0, 5.0), (3.0, 25.0)).select("k", tidy(F.col("v")).alias("v")), f"select x - 5 k, v + 0.0 v from {DEM} where y = 3 and x between 5 and 25")
 add("viz_annotate_points", lambda s, d: viz.annotate_points(dem(s, d).select("y", "x", F.lit(0.0).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b")), pts(s, d), 0).select("y", "x", "r"), f"with p as (select distinct floor(px) px, floor(py) py from {PTS}) select y, x, case when exists (select 1 from p where x = px and y = py) then 1e0 else 0e0 end r from {DEM}")
 add("viz_blend", lambda s, d: viz.blend_rgba(*(dem(s, d).select("y", "x", (F.col("v") / k).alias("r"), F.lit(0.5).alias("g"), F.lit(0.25).alias("b"), F.lit(0.8).alias("a")) for k in (100.0, 200.0)), keys=("y", "x"), mode="screen").select("y", "x", tidy(F.col("r")).alias("r"), tidy(F.col("a")).alias("a")), f"select y, x, round(v / 100 * (1 - 0.48e0) + (1 - (1 - v / 100) * (1 - v / 200)) * 0.48e0, 6) + 0.0 r, round(0.48e0 + 0.8e0 * (1 - 0.48e0), 6) + 0.0 a from {DEM}")

@@ -319,3 +319,136 @@ def test_spectra_queries_use_all_bands(spark):
         want |= dict(zip([r.vec_id for r in rows if r.label == k], score(own, within, own.mean(0)), strict=True))
     assert set(got) == set(want)
     assert all(abs(got[k] - v) <= 1e-5 for k, v in want.items())
+
+
+def _field(spark, seed=3, h=9, w=7, holes=True):
+    r = np.random.default_rng(seed)
+    a = r.normal(5, 2, (h, w))
+    if holes:
+        a[r.random((h, w)) < 0.15] = np.nan
+        a[0, 0] = np.nan
+    rows = [(y, x, float(a[y, x])) for y in range(h) for x in range(w)]
+    return a, spark.createDataFrame(rows, "y long, x long, v double")
+
+
+def _array(df, shape, column="v"):
+    out = np.full(shape, np.nan)
+    for r in df.collect():
+        out[r.y, r.x] = np.nan if r[column] is None else r[column]
+    return out
+
+
+def _windows(a, size, mode):
+    k = size // 2
+    p = np.pad(a, k, mode={"nearest": "edge", "reflect": "symmetric"}[mode])
+    return np.lib.stride_tricks.sliding_window_view(p, (size, size)).reshape(*a.shape, -1)
+
+
+def test_windows_repeat_the_border_and_keep_gaps(spark):
+    from rasterloom.operators import restore
+
+    a, df = _field(spark)
+    gap = np.isnan(a)
+    w = _windows(a, 3, "nearest")
+    with np.errstate(all="ignore"):
+        mean, var = np.nanmean(w, -1), np.nanvar(w, -1)
+    cv = np.sqrt(var) / np.abs(mean)
+    lee = mean + np.where(var > 0, 0.5 * var / (var + (0.523 * mean) ** 2), 0) * (a - mean)
+    frost = np.exp(-2 * cv) * a + (1 - np.exp(-2 * cv)) * mean
+    median = np.median(_windows(np.where(gap, np.nanmedian(a), a), 3, "nearest"), -1)
+    d = np.arange(-4, 5)
+    kernel = np.exp(-(d[:, None] ** 2 + d**2) / 2).ravel()
+    near = _windows(a, 9, "nearest")
+    gauss = np.nansum(near * kernel, -1) / (~np.isnan(near) * kernel).sum(-1)
+    for got, want in ((restore.despeckle_lee(df, 3), lee), (restore.despeckle_frost(df, 3), frost), (restore.median_denoise(df, 3), median), (restore.gaussian_denoise(df, 1.0), gauss)):
+        np.testing.assert_allclose(_array(got, a.shape), np.where(gap, np.nan, want), rtol=1e-9)
+
+
+def test_adaptive_background_mirrors_the_border(spark):
+    from rasterloom.operators import restore
+
+    a, df = _field(spark, holes=False)
+    w = _windows(a, 5, "reflect")
+    got = restore.adaptive_background(df, 5)
+    np.testing.assert_allclose(_array(got, a.shape, "mean"), w.mean(-1), rtol=1e-9)
+    np.testing.assert_allclose(_array(got, a.shape, "var"), w.var(-1, ddof=1), rtol=1e-9)
+    with pytest.raises(ValueError):
+        restore.adaptive_background(df, 4)
+
+
+def test_destripe_with_moment_matching(spark):
+    from rasterloom.operators import restore
+
+    a, df = _field(spark)
+    profile = np.nanmean(a, 0, keepdims=True)
+    out = a - (profile - np.nanmean(profile))
+    want = np.where(np.isnan(a), np.nan, np.nanmean(_windows(out, 3, "nearest"), -1))
+    np.testing.assert_allclose(_array(restore.destripe(df, method="moment_matching", window=3), a.shape), want, rtol=1e-9)
+    with pytest.raises(ValueError):
+        restore.destripe(df, method="other")
+
+
+def test_shrinkage_by_both_estimates():
+    from rasterloom.operators.background import shrink_covariance
+
+    x = np.random.default_rng(1).normal(size=(500, 6)) * [1, 2, 3, 1, 1, 1]
+    cov, n, p = np.cov(x.T), 500, 6
+    mu = np.trace(cov) / p
+    away = ((cov - mu * np.eye(p)) ** 2).sum()
+    for method, share in (("ledoit_wolf", ((cov**2).sum() + np.trace(cov) ** 2 / p) / n / away), ("oas", ((1 - 2 / p) * (cov**2).sum() + np.trace(cov) ** 2) / ((n + 1) * away))):
+        np.testing.assert_allclose(shrink_covariance(cov, n, method), (1 - min(1, share)) * cov + min(1, share) * mu * np.eye(p))
+    with pytest.raises(ValueError):
+        shrink_covariance(cov, n, "other")
+
+
+def test_poisson_disks_fill_any_field(spark):
+    import math
+
+    from rasterloom.operators.patches import PoissonDisk
+
+    at = [(r.ay, r.ax) for r in PoissonDisk(3.0, 5).anchors(spark, (120, 90), (8, 8)).collect()]
+    assert all(math.hypot(a - c, b - d) >= 3 for i, (a, b) in enumerate(at) for c, d in at[:i])
+    free = [(y, x) for y in range(113) for x in range(83) if all(math.hypot(y - a, x - b) >= 3 for a, b in at)]
+    assert not free and len(at) > 700
+
+
+def test_nearest_neighbours_far_away(spark):
+    import math
+    import random
+
+    from rasterloom.operators.joins import knn_join
+
+    r = random.Random(1)
+    right = [(i, r.gauss(0, 1) + 50 * (i % 3), r.gauss(0, 1)) for i in range(300)] + [(300 + i, 7.0, 7.0) for i in range(5)]
+    left = [(0, 0.0, 0.0), (1, 1e4, 3.0), (2, -500.0, 800.0), (3, 50.0, 1.0), (4, 7.0, 7.0)]
+    got = {}
+    for x in knn_join(spark.createDataFrame(left, "id long, px double, py double"), spark.createDataFrame(right, "id long, px double, py double"), 4, 0.05).collect():
+        got.setdefault(x.l.id, {})[x["rank"]] = x.r.id
+    for i, px, py in left:
+        want = sorted(right, key=lambda p: (math.sqrt((px - p[1]) ** 2 + (py - p[2]) ** 2), p[0]))[:4]
+        assert [got[i][k] for k in (1, 2, 3, 4)] == [p[0] for p in want]
+    few = knn_join(spark.createDataFrame(left, "id long, px double, py double"), spark.createDataFrame(right[:2], "id long, px double, py double"), 4, 0.05)
+    assert few.count() == 10
+    assert knn_join(spark.createDataFrame(left, "id long, px double, py double").where("false"), spark.createDataFrame(right, "id long, px double, py double"), 4, 0.05).count() == 0
+
+
+def test_numbers_over_a_table(spark):
+    from rasterloom.operators.numbering import numbered
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 as k").repartition(5)
+    assert sorted((r.k, r.label) for r in numbered(df, ["k"]).collect()) == [(k, k + 1) for k in range(1000)]
+    assert numbered(df.where("false"), ["k"]).count() == 0
+
+
+def test_masks_are_checked(spark):
+    from rasterloom.operators import masks
+
+    df = spark.createDataFrame([(0, 0, True), (0, 1, False)], "y long, x long, mask boolean")
+    for make in (lambda: masks.BBoxMask((1, 2, 3)), lambda: masks.CombineMasks("nand"), lambda: masks.CleanMask((2, 2), -1), lambda: masks.CombineMasks()([]), lambda: masks.CombineMasks("not")([df, df])):
+        with pytest.raises(ValueError):
+            make()
+    assert [r.mask for r in masks.CombineMasks("NOT")([df]).orderBy("x").collect()] == [False, True]
+    high = masks.AltitudeMask(spark.createDataFrame([(0, 0, float("nan"))], "y long, x long, v double"), high=3.0)
+    assert [r.mask for r in high(df).collect()] == [False, False]
+    v = spark.createDataFrame([(0, 0, 1.0, "a"), (0, 1, 2.0, "b"), (5, 5, 3.0, "c")], "y long, x long, v double, note string")
+    assert sorted((r.x, r.v) for r in masks.ApplyMask(df, -1.0)(v).collect()) == [(0, -1.0), (1, 2.0), (5, 3.0)]
