@@ -300,7 +300,11 @@ def decode(encoded: DataFrame, ranks_path: str, split: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str, split: str, *, ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): the rows of encode() and of decode() after it, as digests, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]): the rows of encode() and of decode() after it, as digests, in one pass.
+
+    Null text is empty and has no ids; each row is encoded for itself, repeated or not, and whole, also a piece of megabytes
+    without a blank; other columns are ignored, and an empty table gives an empty one.
+    """
     shared = _spread(docs, ranks_path, split)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids]
 

@@ -152,6 +152,7 @@ def read_chats(formatted: DataFrame, template: Template | None = None) -> DataFr
 
     turns_sha256 is over role, line feed, text, line feed of every turn, loss_sha256 over the unescaped text
     under the loss mask; valid says whether the machine allows the whole conversation.
+    Rows, the parts of a conversation, may come in any order; other columns are ignored, and an empty table gives an empty one.
     """
     machine, kind = (template or Template()).machine(), dict(formatted.dtypes)["conv_id"]
 

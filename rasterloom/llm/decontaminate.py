@@ -141,7 +141,11 @@ def contained(docs: DataFrame, items: DataFrame, *, shingle: int = 5, percent: i
 
 
 def clean(docs: DataFrame, items: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that contain no item; all columns stay, and rows without text too."""
+    """The documents that contain no item, with all their columns, whatever the names.
+
+    Rows without text or words stay, repeated rows stay or go together, whole texts count however long they are,
+    items without words are in no document, and with no documents or no items the table stays as it is.
+    """
     for block in _blocks(items):
         index = docs.sparkSession.sparkContext.broadcast(Index(block, shingle, percent))
 

@@ -180,7 +180,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents that the model accepts, with all their columns."""
+    """The documents that the model accepts, with all their columns, whatever the names.
+
+    Null text is empty and is scored like it, rows of the same text stay or go together, all passages of a long
+    text count, without a model all rows stay, and an empty table stays empty.
+    """
 
     def run(batches):
         for batch in batches:

@@ -186,7 +186,9 @@ def dedup(docs: DataFrame, *, window: int = 50) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; kept are the bytes of the kept words, joined by one blank.
 
     Words are `[^\\x20\\x09-\\x0D]+`; null text has none.  Removed is each word in a window of `window`
-    words that also starts in a document with a smaller doc_id, as the input stands.  Other columns are ignored.
+    words that also starts in a document with a smaller doc_id, as the input stands.  Rows without doc_id lose
+    nothing, rows that share a doc_id don't affect each other, texts of fewer words stay whole, however long
+    a text is all of it counts, other columns are ignored, and an empty table gives an empty one.
     """
     return _with_words(docs, window, "kept binary", lambda kept: pa.array(kept, pa.binary()))
 

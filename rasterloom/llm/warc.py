@@ -63,7 +63,10 @@ def _line(name: str, value: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str, *, least: int = 1000, date: str = "2000-01-01T00:00:00Z", records: int = 50_000) -> None:
-    """Writes a record for every row of `pages`; null html is empty, null page_id and url are left out of the header."""
+    """Writes a record for every row of `pages`; null html is empty, null page_id and url are left out of the header.
+
+    Rows that repeat a page_id are records of their own, other columns are left out, and an empty table makes archives without records.
+    """
     rows = typed(pages, least=least)
     revisit = F.col("record_type") == "revisit"
     block = F.concat(F.lit(_HTTP), F.when(revisit, F.lit("")).otherwise(F.col("html")))
