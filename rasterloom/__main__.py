@@ -1,4 +1,4 @@
-"""Command line: python -m rasterloom query|stats|info|convert|migrate SOURCE ..."""
+"""Command line: python -m rasterloom raster|query|stats|info|convert|migrate SOURCE ..."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import sys
 
 from .session import local_session
 from .sources.catalog import CatalogSchemaError, migrate, open_catalog
+from .sources.geotiff import build_catalog
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="rasterloom", description=__doc__)
     sub = p.add_subparsers(dest="verb", required=True)
-    for verb in ("query", "stats", "info", "convert", "migrate"):
+    for verb in ("raster", "query", "stats", "info", "convert", "migrate"):
         s = sub.add_parser(verb)
         s.add_argument("source")
         if verb == "query":
@@ -23,7 +24,10 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument("--end")
         if verb == "info":
             s.add_argument("--row", type=int, default=0)
-        if verb in ("convert", "migrate"):
+        if verb == "raster":
+            s.add_argument("--pattern", default="")
+            s.add_argument("--crs", default=None)
+        if verb in ("raster", "convert", "migrate"):
             s.add_argument("--out", required=True)
         if verb == "convert":
             s.add_argument("--partition-by", nargs="*", default=None)
@@ -35,6 +39,11 @@ def main(argv: list[str] | None = None) -> int:
         if a.verb == "migrate":
             migrate(spark, a.source, a.out, to_version=a.to_version)
             return 0
+        if a.verb == "raster":
+            built = build_catalog(spark, a.source, a.pattern, crs=a.crs)
+            built.write(a.out)
+            print(json.dumps({"out": a.out, "n": built.count()}))
+            return 0
         c = open_catalog(spark, a.source)
         if a.verb == "query":
             time = (a.start or "1900-01-01", a.end or "2100-01-01") if a.start or a.end else None

@@ -12,7 +12,7 @@ from ..operators import joins
 from ..operators import matchup as mu
 from ..sources import items, slices
 from ..sources.catalog import Catalog
-from .fixtures import CAT, CAT_B, PTS, cat, cat_b, pts, table
+from .fixtures import CAT, CAT_B, PTS, PX, cat, cat_b, pts, px, table
 from .registry import add, query
 
 _AOI, _T = (-140.0, -40.0, -40.0, 40.0), (dt.datetime(1996, 1, 1), dt.datetime(1997, 12, 31))
@@ -173,3 +173,63 @@ def bundle_ingest(spark, sf_dir):
     b = items.Bundle(items.source_row_to_catalog(rows).limit(0)).ingest(rows, query_id="q1", source="s", collection="c", tag="t")
     log = b.queries.select("query_id", "tag", "n_returned")
     return log.join(b.items.agg(F.count("*").alias("n_items"), F.max(F.get_json_object("provenance", "$.query_id")).alias("stamped")))
+
+
+# files of the scenes: mean nir and red of each cell, and the scene's number, which the files' names don't tell
+_CELLS = f"(select scene, y, x, avg(nir) n, avg(red) r from {PX} group by 1, 2, 3)"
+
+
+def _rasters(spark, sf_dir):
+    from ..checkpoints import scratch
+    from ..sources import geotiff
+
+    path = scratch(spark, "rasters")
+    cells = px(spark, sf_dir).groupBy("scene", "y", "x").agg(F.avg("nir").alias("n"), F.avg("red").alias("r"))
+    bands = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(c).cast("double").alias("v")) for k, c in ((1, "n"), (2, "r"), (3, "scene"))]))
+    geotiff.write(cells.select("scene", "y", "x", bands.alias("b")).select("scene", "b.band", "y", "x", "b.v"), path, (64, 64), by=["scene"], transform=(10.0, 0.0, 500.0, 0.0, -10.0, 4000.0), epsg=32630, tile=16)
+    return path
+
+
+def _by_scene(pixels):
+    wide = pixels.where("not isnan(v)").groupBy("filepath", "y", "x").agg(*[F.max(F.when(F.col("band") == k, F.col("v"))).alias(c) for k, c in ((1, "n"), (2, "r"), (3, "scene"))])
+    return wide.select(F.col("scene").cast("long").alias("scene"), "y", "x", tidy(F.col("n")).alias("n"), tidy(F.col("r")).alias("r"))
+
+
+_AS_READ = "scene, y, x, round(n, 6) + 0.0 n, round(r, 6) + 0.0 r"
+
+
+@query("raster_read_bounds", f"select {_AS_READ} from {_CELLS} where x between 10 and 29 and y between 10 and 29")
+def raster_read_bounds(spark, sf_dir):
+    from ..sources import geotiff
+
+    return _by_scene(geotiff.read(spark, _rasters(spark, sf_dir), bounds=(600.0, 3700.0, 800.0, 3900.0)))
+
+
+@query("raster_read_window", f"select {_AS_READ} from {_CELLS} where x between 40 and 63 and y between 5 and 36")
+def raster_read_window(spark, sf_dir):
+    from ..sources import geotiff
+
+    return _by_scene(geotiff.read(spark, _rasters(spark, sf_dir), window=(5, 40, 32, 99)))
+
+
+@query("raster_read_tile", f"select {_AS_READ} from {_CELLS} where x between 32 and 63 and y between 0 and 31")
+def raster_read_tile(spark, sf_dir):
+    from ..sources import geotiff
+
+    return _by_scene(geotiff.read_tile(spark, _rasters(spark, sf_dir), 0, 1, (32, 32)))
+
+
+@query("raster_catalog", "select count(distinct l_suppkey % 8) n, 500e0 xmin, 3360e0 ymin, 1140e0 xmax, 4000e0 ymax, 3::bigint bands from lineitem")
+def raster_catalog(spark, sf_dir):
+    from ..sources import geotiff
+
+    rows = geotiff.build_catalog(spark, _rasters(spark, sf_dir)).df
+    return rows.agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in (*boxes.BOX, "bands")])
+
+
+@query("raster_load_from_catalog", f"select {_AS_READ} from {_CELLS} where x between 0 and 9 and y between 20 and 44")
+def raster_load_from_catalog(spark, sf_dir):
+    from ..sources import geotiff
+
+    found = geotiff.build_catalog(spark, _rasters(spark, sf_dir))
+    return _by_scene(geotiff.load(found, bounds=(500.0, 3550.0, 600.0, 3800.0)))

@@ -452,3 +452,74 @@ def test_masks_are_checked(spark):
     assert [r.mask for r in high(df).collect()] == [False, False]
     v = spark.createDataFrame([(0, 0, 1.0, "a"), (0, 1, 2.0, "b"), (5, 5, 3.0, "c")], "y long, x long, v double, note string")
     assert sorted((r.x, r.v) for r in masks.ApplyMask(df, -1.0)(v).collect()) == [(0, -1.0), (1, 2.0), (5, 3.0)]
+
+
+def _strips(order, pixels, kind, predictor=1, deflate=False, planes=False):
+    """A file in strips of three rows, put together by hand."""
+    import struct
+    import zlib
+
+    n, h, w = pixels.shape
+    strips = []
+    for plane in range(n if planes else 1):
+        for i in range(0, h, 3):
+            part = pixels[plane : plane + 1 if planes else n, i : i + 3].transpose(1, 2, 0)
+            if predictor == 2:
+                part = np.concatenate([part[:, :1], part[:, 1:] - part[:, :-1]], 1)
+            raw = part.astype(f"{order}{kind}").tobytes()
+            if predictor == 3:
+                rows = np.frombuffer(part.astype(f">{kind}").tobytes(), np.uint8).reshape(part.shape[0], -1, int(kind[1:])).transpose(0, 2, 1).reshape(part.shape[0], -1, n if not planes else 1)
+                raw = np.concatenate([rows[:, :1], rows[:, 1:] - rows[:, :-1]], 1).astype(np.uint8).tobytes()
+            strips.append(zlib.compress(raw) if deflate else raw)
+    at = 8
+    body = b"".join(strips)
+    offsets = [at + sum(map(len, strips[:k])) for k in range(len(strips))]
+    tags = [(256, 4, [w]), (257, 4, [h]), (258, 3, [8 * int(kind[1:])] * n), (259, 3, [8 if deflate else 1]), (273, 4, offsets), (277, 3, [n]), (278, 3, [3]), (279, 4, [len(s) for s in strips]), (284, 3, [2 if planes else 1]), (317, 3, [predictor]), (339, 3, [{"u": 1, "i": 2, "f": 3}[kind[0]]] * n), (33550, 12, [10.0, 20.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 500.0, 4000.0, 0.0]), (34735, 3, [1, 1, 0, 1, 3072, 0, 1, 32630]), (42113, 2, b"7\0")]
+    start = at + len(body)
+    heap, entries = b"", b""
+    for tag, t, values in tags:
+        v = values if t == 2 else struct.pack(f"{order}{len(values)}{ {3: 'H', 4: 'I', 12: 'd'}[t]}", *values)
+        place = v.ljust(4, b"\0") if len(v) <= 4 else struct.pack(order + "I", start + 2 + 12 * len(tags) + 4 + len(heap))
+        heap += v if len(v) > 4 else b""
+        entries += struct.pack(order + "HHI", tag, t, len(values)) + place
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, start) + body + struct.pack(order + "H", len(tags)) + entries + struct.pack(order + "I", 0) + heap
+
+
+@pytest.mark.parametrize(("order", "kind", "predictor", "deflate", "planes"), [("<", "u2", 1, False, False), (">", "i4", 1, True, True), ("<", "u1", 2, True, False), (">", "u2", 2, True, True), ("<", "f4", 3, True, False), ("<", "f8", 1, True, False)])
+def test_geotiff_files_of_others(spark, tmp_path, order, kind, predictor, deflate, planes):
+    from rasterloom.sources import geotiff
+
+    pixels = np.random.default_rng(2).integers(0, 200, (3, 11, 8))
+    (tmp_path / "a.tif").write_bytes(_strips(order, pixels, kind, predictor, deflate, planes))
+    h = geotiff.headers(spark, str(tmp_path)).first()
+    assert (h.xmin, h.ymin, h.xmax, h.ymax, h.crs, h.width, h.height, h.bands) == (500.0, 3780.0, 580.0, 4000.0, "EPSG:32630", 8, 11, 3)
+    want = np.where(pixels == 7, np.nan, pixels.astype(float))
+
+    def got(df):
+        return {(r.band, r.y, r.x): r.v for r in df.collect()}
+
+    def same(rows, bands, ys, xs):
+        assert set(rows) == {(b, y, x) for b in bands for y in ys for x in xs}
+        assert all((np.isnan(v) and np.isnan(want[b - 1, y, x])) or v == want[b - 1, y, x] for (b, y, x), v in rows.items())
+
+    same(got(geotiff.read(spark, str(tmp_path))), (1, 2, 3), range(11), range(8))
+    same(got(geotiff.read(spark, str(tmp_path), window=(2, 5, 7, 99), bands=[3])), (3,), range(2, 9), range(5, 8))
+    same(got(geotiff.read(spark, str(tmp_path), bounds=(515.0, 3900.0, 540.0, 3950.0))), (1, 2, 3), range(2, 5), range(1, 4))
+    assert geotiff.read(spark, str(tmp_path), bounds=(0.0, 0.0, 1.0, 1.0)).count() == 0
+
+
+def test_geotiff_round_trip(spark, tmp_path):
+    from rasterloom.sources import geotiff
+
+    rows = [(s, b, y, x, float(s * 1000 + b * 100 + y * 10 + x)) for s in (1, 2) for b in (1, 2) for y in range(9) for x in range(5) if (y, x) != (3, 3)]
+    df = spark.createDataFrame(rows, "scene long, band int, y long, x long, v double")
+    geotiff.write(df, str(tmp_path / "w"), (9, 5), by=["scene"], transform=(2.0, 0.0, 10.0, 0.0, -2.0, 50.0), epsg=4326, dtype="int16", nodata=-1.0, tile=4)
+    h = geotiff.headers(spark, str(tmp_path / "w")).collect()
+    assert len(h) == 2 and {(x.crs, x.xmin, x.ymax, x.xmax, x.ymin) for x in h} == {("EPSG:4326", 10.0, 50.0, 20.0, 32.0)}
+    back = geotiff.read(spark, str(tmp_path / "w")).collect()
+    assert sorted(r.v for r in back if not np.isnan(r.v)) == sorted(r[4] for r in rows)
+    assert sum(np.isnan(r.v) for r in back) == 4 and all((r.y, r.x) == (3, 3) for r in back if np.isnan(r.v))
+    tile = geotiff.read_tile(spark, str(tmp_path / "w"), 1, 0, (4, 4), [2]).collect()
+    assert {(r.band, r.y, r.x) for r in tile} == {(2, y, x) for y in range(4, 8) for x in range(4)}
+    with pytest.raises(ValueError):
+        geotiff.parse(b"no file")
