@@ -154,7 +154,7 @@ add("geom_profile_line", lambda s, d: geom.profile_line(dem(s, d), (3.0, 5.0), (
 add("viz_annotate_points", lambda s, d: viz.annotate_points(dem(s, d).select("y", "x", F.lit(0.0).alias("r"), F.lit(0.0).alias("g"), F.lit(0.0).alias("b")), pts(s, d), 0).select("y", "x", "r"), f"with p as (select distinct floor(px) px, floor(py) py from {PTS}) select y, x, case when exists (select 1 from p where x = px and y = py) then 1e0 else 0e0 end r from {DEM}")
 add("viz_blend", lambda s, d: viz.blend_rgba(*(dem(s, d).select("y", "x", (F.col("v") / k).alias("r"), F.lit(0.5).alias("g"), F.lit(0.25).alias("b"), F.lit(0.8).alias("a")) for k in (100.0, 200.0)), keys=("y", "x"), mode="screen").select("y", "x", tidy(F.col("r")).alias("r"), tidy(F.col("a")).alias("a")), f"select y, x, round(v / 100 * (1 - 0.48e0) + (1 - (1 - v / 100) * (1 - v / 200)) * 0.48e0, 6) + 0.0 r, round(0.48e0 + 0.8e0 * (1 - 0.48e0), 6) + 0.0 a from {DEM}")
 add("viz_ensure_rgba", lambda s, d: viz.ensure_rgba(dem(s, d), ("y", "x")).select("y", "x", "r", "a"), f"select y, x, v r, 255 a from {DEM}")
-add("feature_peak_local_max", lambda s, d: nb.peak_local_max(grid(s, d), 2, 0.5).select("y", "x", tidy(F.col("score")).alias("score")), f"with g as {GRID} select a.y, a.x, round(first(a.v), 6) + 0.0 score from g a join g b on b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 group by 1, 2 having first(a.v) = max(b.v) and count(*) = 25 and first(a.v) > 0.5")
+add("feature_peak_local_max", lambda s, d: nb.peak_local_max(dem(s, d), 2, 60.0).select("y", "x", tidy(F.col("score")).alias("score")), f"with g as {DEM} select a.y, a.x, round(first(a.v), 6) + 0.0 score from g a join g b on b.y between a.y - 2 and a.y + 2 and b.x between a.x - 2 and a.x + 2 group by 1, 2 having first(a.v) = max(b.v) and count(*) = 25 and first(a.v) > 60")
 
 # augmentation is seeded by hashes, which SQL engines do not share
 _scenes = lambda s, d: dem(s, d).join(s.range(3).withColumnRenamed("id", "scene"))
