@@ -191,7 +191,8 @@ def within(prints: DataFrame, queries: DataFrame, *, radius: int = 6, blocks: in
 
     each = keyed(prints).withColumn("to", F.pmod(F.xxhash64("fingerprint"), F.lit(salt)).cast("int"))
     asked = keyed(queries).withColumnRenamed("fingerprint", "query").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    pairs = each.join(asked, ["k", "key", "to"])
+    # sizes are estimated without what explode makes of a row, so either side could be sent to the driver and every executor though it is many times the limit
+    pairs = each.hint("merge").join(asked, ["k", "key", "to"])
     word = lambda c, i: F.conv(F.substring(c, i, 8), 16, 10).cast("long")
     distance = sum((F.bit_count(word("query", i).bitwiseXOR(word("fingerprint", i))) for i in (9, 17, 25)), F.bit_count(word("query", 1).bitwiseXOR(word("fingerprint", 1))))
     pairs = pairs.select("query", "fingerprint", "k", distance.alias("distance")).where(F.col("distance") <= radius)

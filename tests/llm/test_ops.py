@@ -520,6 +520,16 @@ def test_all_near_fingerprints_are_found(spark, radius, blocks):
     assert near == {-1: None, **{i: sum((int(t, 16) ^ int(x, 16)).bit_count() <= radius for x in texts) - 1 if i % 3 == 0 else None for i, t in enumerate(texts)}}
 
 
+def test_block_tables_are_never_broadcast(spark):
+    """A query has a row for each table and task, which estimates of size leave out; within the limit or not, they are joined by a shuffle."""
+    df = spark.createDataFrame([(i, f"{i:032x}") for i in range(50)], "doc_id long, fingerprint string")
+    got = simhash.within(df, df.where("doc_id % 20 = 0"))
+    assert got.count() == len([1 for a in (0, 20, 40) for b in range(50) if (a ^ b).bit_count() <= 6])
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_radius_must_be_less_than_blocks(spark):
     df = spark.createDataFrame([("0" * 32,)], "fingerprint string")
     with pytest.raises(ValueError):
