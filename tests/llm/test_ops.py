@@ -8,6 +8,7 @@ import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,40 +152,33 @@ def test_line_dedup_removes_equal_short_lines(spark):
     assert {r.doc_id: r.n_removed for r in lines.digests(df).collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
-def _line_variants(w):
-    """(variant, whether it is the line itself) of a line's words, written out as the operator's docstring has it."""
-    n, out = len(w), []
-    if 5 <= n <= 11:
-        out.append(((n, *sorted(w)), True))
-        out += [((n - 1, *sorted(w[:i] + w[i + 1 :])), False) for i in range(n)]
-    if n >= 10:
-        for j in range(0, n - 5, 12):
-            out += [(("start", j, *w[j : j + 6]), False), (("end", j, *w[n - j - 6 : n - j]), False)]
-    return out
-
-
 def _near_lines(split):
-    """Places of lines (place, words), in order, that go."""
+    """Places of lines (place, words), in order, that go: all pairs of lines, but for those of which the numbers of words tell that they are too far."""
     entries = {}
     for at, w in split:
         entries.setdefault(tuple(w), at)
-    words = {at: w for w, at in entries.items()}
-    early, itself = {}, {}
+    near, counts = set(), {w: Counter(w) for w in entries}
     for w, at in entries.items():
-        for v, whole in _line_variants(w):
-            early.setdefault(v, at)
-            if whole:
-                itself.setdefault(v, at)
-    near = set()
-    for w, at in entries.items():
-        for v, _ in _line_variants(w):
-            for other in {early[v], itself.get(v, at)}:
-                bound = max(len(w), len(words[other])) // 5
-                if other < at and min(len(w), len(words[other])) >= 5 and _edits(w, words[other]) <= bound:
+        for v, other in entries.items():
+            bound = max(len(w), len(v)) // 5
+            if other < at and min(len(w), len(v)) >= 5 and abs(len(w) - len(v)) <= bound:
+                if (counts[w] - counts[v]).total() <= bound and (counts[v] - counts[w]).total() <= bound and _edits(w, v) <= bound:
                     near.add(w)
+                    break
     return {at for at, w in split if tuple(w) in near or entries[tuple(w)] < at}
 
 
+def test_line_dedup_misses_no_line_within_the_bound(spark):
+    """Edits in all parts of a line, lines that are near another than the earliest one, and few different words."""
+    base = [f"w{i}" for i in range(20)]
+    edit = lambda w, *at: [f"{x}-{len(at)}" if i in at else x for i, x in enumerate(w)]
+    near = edit(base, 2, 8, 14, 17)
+    far = edit(near, 0, 5, 11, 19)
+    few = "a b a b a b a b a b".split()
+    texts = [" ".join(x) for x in (base, near, far, base[:12], edit(base[:12], 1, 9), few, edit(few, 1, 8), few + ["c", "d"], base[3:11], edit(base[3:11], 2, 5) + ["x", "y"])]
+    assert {x.doc_id for x in lines.removed(docs_of(spark, texts)).collect()} == {1, 2, 4, 6, 7}
+
+
 def test_line_dedup_bound_grows_with_the_line(spark):
     r = random.Random(5)
     voc = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randrange(1, 9))) for _ in range(600)]
