@@ -66,6 +66,14 @@ def test_line_stage(steps):
     assert {r.doc_id: r.n_chars for r in steps[2].collect()} == {d: len(t) for d, t in want.items()}
 
 
+def test_line_stage_misses_no_line_within_the_bound(spark):
+    """Four words of twenty that are changed in all parts of the line."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(0, " ".join(words)), (1, " ".join("x" if i in (2, 8, 14, 17) else w for i, w in enumerate(words)) + "\nother words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert texts(corpus_pipeline.dedup_lines(spark, docs, str(SF))) == {0: rows[0][1], 1: "other words"}
+
+
 def test_document_stage_keeps_one_of_each_group(steps):
     """All pairs of documents by their five-word shingles."""
     before, after = texts(steps[2]), texts(steps[3])
