@@ -219,6 +219,23 @@ def test_line_dedup_finds_all_lines_of_few_edits(spark):
     assert {x.doc_id for x in lines.removed(docs_of(spark, texts)).collect()} == {i for i in range(len(texts)) if i % 8}
 
 
+def test_line_dedup_compares_few_lines_that_are_not_near(spark, monkeypatch):
+    """Lines of the same words in other orders."""
+    pairs, real = [], lines.stash
+
+    def stash(df, name):
+        out = real(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stash", stash)
+    r, words = random.Random(7), [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.sample(words, 300)) for _ in range(40)]
+    assert {x.doc_id for x in lines.removed(docs_of(spark, [*texts, texts[0] + " more"])).collect()} == {40}
+    assert sum(pairs) <= 2 * len(texts)
+
+
 def test_line_dedup_keeps_all_columns_and_takes_long_lines(spark):
     t = " ".join(f"word{i}" for i in range(20_000))
     rows = [(1, t, "a", "b", "c", "d", "e"), (2, t + " more", "a", "b", "c", "d", "e"), (2, "x y", "p", "q", "r", "s", "t"), (2, "x y", "p", "q", "r", "s", "t")]
