@@ -236,6 +236,23 @@ def test_line_dedup_compares_few_lines_that_are_not_near(spark, monkeypatch):
     assert sum(pairs) <= 2 * len(texts)
 
 
+def test_line_dedup_meets_few_lines_that_share_a_passage(spark, monkeypatch):
+    """Lines of other words around a passage of long ones, and one that is near the last of them."""
+    made, real = [], lines.stash
+
+    def stash(df, name):
+        out = real(df, name)
+        if name in ("met", "pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stash", stash)
+    passage = [f"averylongword{i}" for i in range(7)]
+    texts = [" ".join([f"a{i}-{j}" for j in range(12)] + passage + [f"b{i}-{j}" for j in range(12)]) for i in range(40)]
+    assert {x.doc_id for x in lines.removed(docs_of(spark, [*texts, texts[-1] + " more"])).collect()} == {40}
+    assert sum(made) <= 2 * len(texts)
+
+
 def test_line_dedup_keeps_all_columns_and_takes_long_lines(spark):
     t = " ".join(f"word{i}" for i in range(20_000))
     rows = [(1, t, "a", "b", "c", "d", "e"), (2, t + " more", "a", "b", "c", "d", "e"), (2, "x y", "p", "q", "r", "s", "t"), (2, "x y", "p", "q", "r", "s", "t")]
