@@ -151,10 +151,11 @@ def histogram_match(source: DataFrame, reference: DataFrame, by: list[str], v: s
 
     s = quantiles(source).select(*by, F.col(v).alias("_s"), "q", F.lit(None).cast("double").alias("_r"))
     r = quantiles(reference).select(*by, F.lit(None).cast("double").alias("_s"), "q", F.col(v).alias("_r"))
-    order = W.partitionBy(*by).orderBy("q", F.col("_r").isNull())
-    back, ahead = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    # both frames begin at the first row: one that ends at the last would be read anew for every row
+    back = W.partitionBy(*by).orderBy("q", F.col("_r").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy(*by).orderBy(F.desc("q"), F.col("_r").isNull().desc()).rowsBetween(W.unboundedPreceding, 0)
     point = F.when(F.col("_r").isNotNull(), F.struct("q", "_r"))
-    both = s.unionByName(r).select("*", F.last(point, ignorenulls=True).over(back).alias("_a"), F.first(point, ignorenulls=True).over(ahead).alias("_b"))
+    both = s.unionByName(r).select("*", F.last(point, ignorenulls=True).over(back).alias("_a"), F.last(point, ignorenulls=True).over(ahead).alias("_b"))
     a, b = F.col("_a"), F.col("_b")
     between = F.when(a.isNull(), b["_r"]).when(b.isNull() | (a["q"] == b["q"]), a["_r"]).otherwise(a["_r"] + (b["_r"] - a["_r"]) * (F.col("q") - a["q"]) / (b["q"] - a["q"]))
     lut = both.where("_s is not null").select(*by, F.col("_s").alias(v), between.alias("matched"))

@@ -523,3 +523,18 @@ def test_geotiff_round_trip(spark, tmp_path):
     assert {(r.band, r.y, r.x) for r in tile} == {(2, y, x) for y in range(4, 8) for x in range(4)}
     with pytest.raises(ValueError):
         geotiff.parse(b"no file")
+
+
+def test_histogram_match_reads_no_frame_anew_for_every_row(spark):
+    from rasterloom.operators.normalize import histogram_match
+
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 50, 400) / 7.0, r.normal(3, 2, 300)
+    df = lambda x: spark.createDataFrame([(0, float(v)) for v in x], "k long, v double")
+    out = histogram_match(df(a), df(b), ["k"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower().replace("specifiedwindowframe(rowframe, unboundedpreceding$(), unboundedfollowing$())", "")
+    values, counts = np.unique(a, return_counts=True)
+    known, many = np.unique(b, return_counts=True)
+    want = dict(zip(values, np.interp(np.cumsum(counts) / 400, np.cumsum(many) / 300, known), strict=True))
+    assert all(abs(x.matched - want[x.v]) < 1e-9 for x in out.collect())
+    assert out.count() == 400
