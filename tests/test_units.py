@@ -538,3 +538,22 @@ def test_histogram_match_reads_no_frame_anew_for_every_row(spark):
     want = dict(zip(values, np.interp(np.cumsum(counts) / 400, np.cumsum(many) / 300, known), strict=True))
     assert all(abs(x.matched - want[x.v]) < 1e-9 for x in out.collect())
     assert out.count() == 400
+
+
+@pytest.mark.parametrize("limit", ["1000", "100"])
+def test_samples_of_classes_are_cut_before_they_meet(spark, limit):
+    rows = [(i, i % 3) for i in range(4000)]
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(key, limit)
+    try:
+        out = pt.stratified_sample(spark.createDataFrame(rows, "id long, c long"), "c", {0: 200, 1: 5, 2: 9000 if limit == "100" else 1}, ["id"], 7)
+        got = {(r.c, r.id) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    assert "WindowGroupLimit" in plan or "_part" in plan
+    from rasterloom.functions.numeric import uniform
+
+    order = [r.id for r in spark.createDataFrame(rows, "id long, c long").orderBy(uniform(7, "id"), "id").collect()]
+    some = lambda c, n: {(c, i) for i in [i for i in order if i % 3 == c][:n]}
+    assert got == some(0, 200) | some(1, 5) | some(2, 9000 if limit == "100" else 1)
