@@ -46,10 +46,12 @@ def bap_composite(df: DataFrame, bands: list[str], *, view: Column, day: Column,
 
 def min_cloud_composite(df: DataFrame, clear: str, v: str = "v", scene: str = "scene", by=CELL) -> DataFrame:
     """The clear value of the scene with the fewest clouds; where all are cloudy that of the clearest scene. Of equal scenes the first."""
-    share = df.groupBy(scene).agg(F.avg((~F.col(clear)).cast("double")).alias("_f"))
-    rows = df.join(share, scene)
-    key = F.struct((~F.col(clear)).alias("c"), F.col("_f"), F.col(scene), F.col(v))
-    return rows.groupBy(*by).agg(F.min_by(v, key).alias("v"), F.count_if(clear).alias("n"))
+    # rows are first counted by cell, scene and cloud in fixed-size buffers; only these few are ordered
+    c = F.col("_c")
+    rows = df.groupBy(*by, scene, (~F.col(clear)).alias("_c")).agg(F.when(F.count(v) == F.count("*"), F.min(v)).alias("_v"), F.count("*").alias("_n"))
+    share = rows.groupBy(scene).agg(F.try_divide(F.sum(F.when(c, F.col("_n")).otherwise(0)), F.sum(F.when(c.isNotNull(), F.col("_n")))).alias("_f"))
+    key = F.struct(c, "_f", scene, "_v")
+    return rows.join(share, scene).groupBy(*by).agg(F.min_by("_v", key).alias("v"), F.sum(F.when(~c, F.col("_n")).otherwise(0)).alias("n"))
 
 
 def blend_matched(df: DataFrame, method: str = "mean", v: str = "v", weight: Column | None = None, variance: Column | None = None, by=CELL, nan_policy: str = "ignore") -> DataFrame:

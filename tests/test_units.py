@@ -557,3 +557,13 @@ def test_samples_of_classes_are_cut_before_they_meet(spark, limit):
     order = [r.id for r in spark.createDataFrame(rows, "id long, c long").orderBy(uniform(7, "id"), "id").collect()]
     some = lambda c, n: {(c, i) for i in [i for i in order if i % 3 == c][:n]}
     assert got == some(0, 200) | some(1, 5) | some(2, 9000 if limit == "100" else 1)
+
+
+def test_min_cloud_composite_orders_counts_not_rows(spark):
+    from rasterloom.operators.compositing import min_cloud_composite
+
+    rows = [(0, 0, "a", True, 4.0), (0, 0, "a", True, 3.0), (0, 0, "b", True, 1.0), (0, 1, "a", False, 9.0), (0, 1, "b", False, 8.0), (1, 0, "b", True, None), (1, 0, "b", True, 2.0), (1, 1, "b", False, 5.0)]
+    out = min_cloud_composite(spark.createDataFrame(rows, "y long, x long, scene string, clear boolean, v double"), "clear", "v")
+    assert {(r.y, r.x): (r.v, r.n) for r in out.collect()} == {(0, 0): (3.0, 3), (0, 1): (9.0, 0), (1, 0): (None, 2), (1, 1): (5.0, 0)}
+    plan = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
+    assert "min_by" in plan[0] and "min_by" not in plan[-1]
