@@ -567,3 +567,37 @@ def test_min_cloud_composite_orders_counts_not_rows(spark):
     assert {(r.y, r.x): (r.v, r.n) for r in out.collect()} == {(0, 0): (3.0, 3), (0, 1): (9.0, 0), (1, 0): (None, 2), (1, 1): (5.0, 0)}
     plan = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line]
     assert "min_by" in plan[0] and "min_by" not in plan[-1]
+
+
+@pytest.mark.parametrize("join", ["all", "any"])
+def test_nearest_matches_make_no_pairs(spark, join):
+    import random
+
+    from rasterloom.operators import matchup as mu
+
+    r = random.Random(5)
+    day = lambda k: dt.datetime(2020, 1, 1) + dt.timedelta(days=k)
+
+    def row(i, most):
+        x, y, w, t = r.uniform(-9, 9), r.uniform(-9, 9), r.choice([0.0, 0.5, 1.0, most]), r.randrange(40)
+        return (i, x, y, x + w, y + w / 2, day(t), day(t + r.randrange(3)))
+
+    left, right = [row(i, 30.0) for i in range(300)] + [(300, None, 0.0, 1.0, 1.0, day(1), day(2))], [row(i, 3.0) for i in range(200)]
+    right += [(1000 + i, *right[7][1:]) for i in range(300)]
+    schema = "id long, xmin double, ymin double, xmax double, ymax double, start_time timestamp, end_time timestamp"
+    two = {"a": [x for x in right if x[0] % 2 == 0], "b": [x for x in right if x[0] % 2]}
+    out = mu.matchup(spark.createDataFrame(left, schema), {k: spark.createDataFrame(v, schema) for k, v in two.items()}, spatial=mu.Contains(), temporal=mu.NearestInTime(5 * 86400.0), join=join)
+    mid = lambda a: (a[5].timestamp() + a[6].timestamp()) / 2
+    want = set()
+    for p in left[:-1]:
+        ids = [p[0]]
+        for s in two.values():
+            near = [q for q in s if p[1] <= q[3] and p[3] >= q[1] and p[2] <= q[4] and p[4] >= q[2] and abs(mid(p) - mid(q)) <= 5 * 86400]
+            q = min(near, key=lambda q: (abs(mid(p) - mid(q)), q[0]), default=None)
+            if q and p[1] <= q[1] and p[2] <= q[2] and p[3] >= q[3] and p[4] >= q[4]:
+                ids.append(q[0])
+        if len(ids) == 3 or join == "any" and len(ids) == 2:
+            want.add(tuple(ids))
+    assert len(want) > 5
+    assert {tuple(x.member_ids) for x in out.collect()} == want
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
