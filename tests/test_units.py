@@ -601,3 +601,28 @@ def test_nearest_matches_make_no_pairs(spark, join):
     assert len(want) > 5
     assert {tuple(x.member_ids) for x in out.collect()} == want
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_neighbours_of_crowded_places_meet_few_points(spark, monkeypatch):
+    import math
+    import random
+
+    from rasterloom.operators import joins
+
+    r = random.Random(2)
+    points = [(i, 3.0, 4.0) for i in range(400)] + [(400 + i, r.random() / 3, r.random() / 3) for i in range(600)] + [(1000, 9.0, -7.0)]
+    met, plain = [], joins.radius_join
+
+    def counted(*args):
+        out = plain(*args)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "radius_join", counted)
+    df = spark.createDataFrame(points, "id long, px double, py double")
+    got = {(x.l.id, x["rank"]): (x.r.id, x.distance) for x in joins.knn_join(df, df, 3, 0.5).collect()}
+    assert sum(met) < 100 * len(points)
+    for i, x, y in points:
+        want = sorted((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), j) for j, a, b in points)[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == [(j, d) for d, j in want]
+    assert len(got) == 3 * len(points)
