@@ -626,3 +626,14 @@ def test_nearest_neighbours_of_crowded_places_meet_few_points(spark, monkeypatch
         want = sorted((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), j) for j, a, b in points)[:3]
         assert [got[i, k] for k in (1, 2, 3)] == [(j, d) for d, j in want]
     assert len(got) == 3 * len(points)
+
+
+def test_pairs_of_a_single_role_are_joined_once(spark):
+    from rasterloom.operators import matchup as mu
+
+    day = lambda k: dt.datetime(2020, 1, 1) + dt.timedelta(days=k)
+    df = spark.createDataFrame([(i, i * 0.5, 0.0, i * 0.5 + 1, 1.0, day(i), day(i + 1)) for i in range(20)], "id long, xmin double, ymin double, xmax double, ymax double, start_time timestamp, end_time timestamp")
+    out = mu.matchup(df, {"b": df}, spatial=mu.IouAtLeast(0.3), temporal=mu.WithinWindow(-86400.0, 86400.0))
+    assert {tuple(r.member_ids) for r in out.collect()} == {(i, j) for i in range(20) for j in (i - 1, i, i + 1) if 0 <= j < 20}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Filter" in plan.split("Join ")[0]
