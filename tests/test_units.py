@@ -637,3 +637,28 @@ def test_pairs_of_a_single_role_are_joined_once(spark):
     assert {tuple(r.member_ids) for r in out.collect()} == {(i, j) for i in range(20) for j in (i - 1, i, i + 1) if 0 <= j < 20}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Filter" in plan.split("Join ")[0]
+
+
+def test_rows_of_one_place_are_joined_as_one(spark, monkeypatch):
+    import math
+
+    from rasterloom.operators import joins
+
+    met, plain = [], joins._unbundled
+
+    def counted(pairs, *args):
+        met.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(joins, "_unbundled", counted)
+    monkeypatch.setattr(joins, "BUNDLE", 50)
+    points = [(i, float(i % 3) / 4, 1.0 if i % 2 else None if i % 50 == 0 else -0.2) for i in range(300)]
+    df = spark.createDataFrame(points, "id long, px double, py double")
+    got = sorted((x.l.id, x.r.id, x.distance, x.l.px) for x in joins.radius_join(df, df, 0.3).collect())
+    far = lambda a, b: math.sqrt((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2]))
+    some = [p for p in points if p[2] is not None]
+    assert got == sorted((a[0], b[0], far(a, b), a[1]) for a in some for b in some if far(a, b) <= 0.3)
+    boxes = spark.createDataFrame([(i, float(i % 4), 0.0, float(i % 4) + 1.5, 1.0) for i in range(200)], "id long, xmin double, ymin double, xmax double, ymax double")
+    got = sorted((x.l.id, x.r.id, x.l.xmax, x.r.xmin) for x in joins.box_join(boxes, boxes).collect())
+    assert got == sorted((a, b, a % 4 + 1.5, float(b % 4)) for a in range(200) for b in range(200) if abs(a % 4 - b % 4) <= 1)
+    assert sum(met) < 60
