@@ -671,3 +671,25 @@ def test_scores_ignore_all_but_the_text(spark):
     a = [r.score for r in quality.score(df, model).orderBy("doc_id").collect()]
     b = [r.score for r in quality.score(df.withColumn("source", F.lit("other")), model).orderBy("doc_id").collect()]
     assert a == b
+
+
+def test_line_dedup_meets_few_lines_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies whose rarest words are their own meet few of the group, and all but the first go."""
+    made, real = [], lines.stash
+
+    def stash(df, name):
+        out = real(df, name)
+        if name in ("met", "pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stash", stash)
+    r = random.Random(8)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for i in range(60):
+        w = list(base)
+        for at in r.sample(range(60), 5):
+            w[at] = f"own{i}-{at}"
+        texts.append(" ".join(w))
+    assert {x.doc_id for x in lines.removed(docs_of(spark, texts)).collect()} == set(range(1, 60))
+    assert sum(made) <= 10 * len(texts)
