@@ -693,3 +693,29 @@ def test_line_dedup_meets_few_lines_of_a_group_of_near_copies(spark, monkeypatch
         texts.append(" ".join(w))
     assert {x.doc_id for x in lines.removed(docs_of(spark, texts)).collect()} == set(range(1, 60))
     assert sum(made) <= 10 * len(texts)
+
+
+def test_line_dedup_meets_lines_by_few_of_their_keys(spark, monkeypatch):
+    """Lines that share most of their keys, but are a little too far, and one that is near another than those it is first compared with."""
+    made, real = [], lines.stash
+
+    def stash(df, name):
+        out = real(df, name)
+        if name == "met":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "stash", stash)
+    r, texts = random.Random(9), []
+    for n in (100, 230, 300):
+        base = [f"w{n}-{i}" for i in range(n)]
+        group = []
+        for _ in range(8):
+            w, at = list(base), r.randrange(3)
+            for k in range(at, n, 9):
+                w[k] = f"own{len(texts)}-{len(group)}-{k}"
+            group.append(" ".join(w))
+        texts += group
+    want = _near_lines([((i, 0), t.split()) for i, t in enumerate(texts)])
+    assert {(x.doc_id, i) for x in lines.removed(docs_of(spark, texts)).collect() for i in x.gone} == want
+    assert 0 < sum(made) <= 60
