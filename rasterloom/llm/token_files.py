@@ -31,7 +31,7 @@ SEGMENT = 1 << 21
 #: Segments of a file at most, so that files stay well below the 2 GB that a row can hold.
 SEGMENTS = 100
 MAGIC = b"PFORIDS1"
-#: Chunks of text between blanks that a worker remembers at most.
+#: Chunks of text between blanks that a worker remembers at most, and as many of their letters and signs.
 REMEMBER = 400_000
 _HEAD = struct.Struct("<8sQQQQQQQ")  # magic, bytes, part, segment, documents, ids, packed bytes, exceptions
 
@@ -127,12 +127,39 @@ class _Numbers(dict):
         return n
 
 
+class _Ids:
+    """Ids of chunks, which learn(new chunks) gives, one after another, and how many of each."""
+
+    def __init__(self, learn):
+        self.learn, self.known = learn, _Numbers()
+        self.start, self.length, self.flat, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+
+    def take(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        if self.known.new:
+            new, self.known.new = self.known.new, []
+            self._add(len(self.known) - len(new), *self.learn(new))
+        count = self.length[at]
+        ends = np.cumsum(count)
+        return self.flat[np.repeat(self.start[at] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)], count
+
+    def _add(self, base: int, ids: np.ndarray, count: np.ndarray) -> None:
+        while len(self.known) > len(self.start):
+            self.start, self.length = np.concatenate([self.start, self.start * 0]), np.concatenate([self.length, self.length * 0])
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat * 0])
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.start[base : base + len(count)] = self.size + np.cumsum(count) - count
+        self.length[base : base + len(count)] = count
+        self.size += len(ids)
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library.
 
     The vocabulary's normaliser makes every blank one space and its pre-tokeniser drops it, so a text's ids are those of
-    its chunks between blanks, and of a chunk's letters and closing signs, each encoded as a text of its own; they repeat, and a
-    worker remembers them.  Letters or signs alone are one piece, of which the last token alone ends a word:
+    its chunks between blanks, and of a chunk's letters and closing signs, each encoded as a text of its own; chunks and their parts
+    repeat, and a worker remembers both, so that a chunk is taken apart and a part encoded where it is new.  Letters or signs alone are one piece, of which the last token alone ends a word:
     many are encoded as one text.
     """
 
@@ -147,53 +174,53 @@ class Tokens:
         self._forget()
 
     def _forget(self):
-        self.known = _Numbers()
-        self.start, self.length, self.flat, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.parts = _Ids(self._encoded)
+        self.chunks = _Ids(self._taken_apart)
 
     def _ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks one after another, how many of each)."""
-        ids = np.array(self.library.encode_batch([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, np.int64)
+        ids = np.array(self.library.encode_batch_fast([b" ".join(chunks).decode()], add_special_tokens=False)[0].ids, np.int64)
         ends = np.flatnonzero(self.closes[ids])
         if len(ends) == len(chunks) and (not len(ids) or ends[-1] == len(ids) - 1):
             return ids, np.diff(ends, prepend=-1)
         return self._apart(chunks)
 
     def _apart(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
+        got = [e.ids for e in self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
         return np.array([i for x in got for i in x], np.int64), np.array([len(x) for x in got])
 
-    def _learn(self) -> None:
-        new, self.known.new = self.known.new, []
-        base = len(self.known) - len(new)
-        while len(self.known) > len(self.start):
-            self.start, self.length = np.concatenate([self.start, self.start * 0]), np.concatenate([self.length, self.length * 0])
+    def _encoded(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As _ids(), of chunks of any kind."""
         simple = np.array([_SIMPLE.fullmatch(c) is not None for c in new], bool)
+        order, ids, count = [], [], []
         for own, of in ((np.flatnonzero(simple), self._ids), (np.flatnonzero(~simple), self._apart)):
             for a in range(0, len(own), 1024):
                 part = own[a : a + 1024]
-                ids, count = of([new[i] for i in part.tolist()])
-                while self.size + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, self.flat * 0])
-                self.flat[self.size : self.size + len(ids)] = ids
-                self.start[base + part] = self.size + np.cumsum(count) - count
-                self.length[base + part] = count
-                self.size += len(ids)
+                x, n = of([new[i] for i in part.tolist()])
+                order.append(part), ids.append(x), count.append(n)
+        order, ids, count = (np.concatenate(x).astype(np.int64) for x in (order, ids, count))
+        starts, length = np.empty_like(count), np.empty_like(count)
+        starts[order], length[order] = np.cumsum(count) - count, count
+        ends = np.cumsum(length)
+        return ids[np.repeat(starts - ends + length, length) + np.arange(len(ids))], length
+
+    def _taken_apart(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As _ids(), by the chunks' letters and closing signs."""
+        each = [_CHUNK.findall(c) for c in new]
+        ids, count = self.parts.take([p for ps in each for p in ps])
+        ends = np.append(0, np.cumsum(count))[np.cumsum(list(map(len, each)))]
+        return ids, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id, one after another; how many of each)."""
-        if len(self.known) > REMEMBER:
+        if len(self.parts.known) > REMEMBER:
             self._forget()
-        find = _CHUNK.findall
+        elif len(self.chunks.known) > REMEMBER:
+            self.chunks = _Ids(self._taken_apart)
         # special tokens are the only strings that depend on the case of A-Z
-        each = [find(t if b"<|" in t else t.lower()) for t in texts]
-        flat = [c for cs in each for c in cs]
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if self.known.new:
-            self._learn()
-        count = self.length[at]
-        ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.start[at] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.append(0, ends)[np.cumsum([0, *map(len, each)])]
+        each = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        ids, count = self.chunks.take([c for cs in each for c in cs])
+        bounds = np.append(0, np.cumsum(count))[np.cumsum([0, *map(len, each)])]
         return np.insert(ids, bounds[1:], end), np.diff(bounds) + 1
 
 

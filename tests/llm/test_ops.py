@@ -458,6 +458,29 @@ def test_token_files_round_trip(spark, tmp_path, empty):
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_take_a_chunk_apart_once(monkeypatch):
+    """Chunks and their parts are remembered, and forgetting either changes no ids."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        t = token_files.Tokens(f.read())
+    want = [*t.library.encode("One, two. one, (TWO) x-1 one", add_special_tokens=False).ids, 1, 1, *t.library.encode("two.", add_special_tokens=False).ids, 1]
+    texts, asked = [b"One, two. one, (TWO)\x0bx-1 one", b" \t", b"two."], []
+    real = token_files._CHUNK
+
+    class Chunk:
+        def findall(self, text):
+            asked.append(text)
+            return real.findall(text)
+
+    monkeypatch.setattr(token_files, "_CHUNK", Chunk())
+    for _ in range(3):
+        ids, count = t.encode(texts, 1)
+        assert ids.tolist() == want and count.tolist()[1] == 1 and count.sum() == len(want)
+    assert sorted(asked) == sorted({b"one,", b"two.", b"(two)", b"x-1", b"one"})
+    for most in (4, 0):
+        monkeypatch.setattr(token_files, "REMEMBER", most)
+        assert t.encode(texts, 1)[0].tolist() == want
+
+
 def test_token_files_roll_and_give_single_documents(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
