@@ -742,3 +742,21 @@ def test_line_dedup_meets_lines_by_few_of_their_keys(spark, monkeypatch):
     want = _near_lines([((i, 0), t.split()) for i, t in enumerate(texts)])
     assert {(x.doc_id, i) for x in lines.removed(docs_of(spark, texts)).collect() for i in x.gone} == want
     assert 0 < sum(made) <= 60
+
+
+def test_components_take_no_round_that_changes_nothing(spark, monkeypatch):
+    from rasterloom.operators import components
+
+    made, real = [], components.stash
+    monkeypatch.setattr(components, "stash", lambda df, name: made.append(name) or real(df, name))
+    of = lambda links: {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert of([(1, 1)]) == {} and made == ["links"]
+    assert of([(2, 1), (1, 3), (3, 1), (9, 5)]) == {2: 1, 3: 1, 9: 5} and made == ["links"] * 2
+    assert of([(3, 2), (2, 1)]) == {2: 1, 3: 1} and made == ["links"] * 3 + ["star"]
+    r = random.Random(11)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(20)]
+    top = {x: x for link in links for x in link}
+    for _ in top:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    assert of(links) == {x: c for x, c in top.items() if x != c}
