@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import random
 import re
 import struct
@@ -481,6 +482,26 @@ def test_token_files_take_a_chunk_apart_once(monkeypatch):
         assert t.encode(texts, 1)[0].tolist() == want
 
 
+def test_token_files_merge_words_without_the_rest_of_the_library(monkeypatch):
+    """Words of letters take the merges alone, each once, and get the library's ids, unless an added token could be among them."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        data = f.read()
+    t, asked = token_files.Tokens(data), []
+    real = t._merged
+    monkeypatch.setattr(t, "_merged", lambda words: asked.extend(words) or real(words))
+    for name in ("_ids", "_apart"):
+        monkeypatch.setattr(t, name, lambda chunks, of=getattr(t, name): (not any(c.isalpha() for c in chunks) or pytest.fail("letters went to the library")) and of(chunks))
+    text = "Straße ÉCOLE naïve übermäßig one  one, ONE.  Ærø łódź ñandú x1 \n"
+    for _ in range(2):
+        ids, count = t.encode([text.encode(), b"", b"<|x ONE \xc3\x89t\xc3\xa9"], 1)
+        assert ids[: count[0]].tolist() == [*t.library.encode(text, add_special_tokens=False).ids, 1]
+        assert ids[count[0] + 1 :].tolist() == [*t.library.encode("<|x ONE Été", add_special_tokens=False).ids, 1]
+    assert sorted(asked).count(b"one") == 1 and "straße".encode() in asked
+    vocabulary = json.loads(data)
+    vocabulary["added_tokens"].append({"id": 60_000, "content": "one", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    assert not token_files.Tokens(json.dumps(vocabulary)).plain
+
+
 def test_token_files_roll_and_give_single_documents(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
