@@ -254,6 +254,38 @@ def test_line_dedup_meets_few_lines_that_share_a_passage(spark, monkeypatch):
     assert sum(made) <= 2 * len(texts)
 
 
+@pytest.mark.parametrize("rare", [0, 2, 40])
+def test_line_dedup_misses_no_line_of_frequent_words(spark, monkeypatch, rare):
+    """Few words are rare enough to be keys by themselves, so pairs of frequent neighbours are; some lines have both kinds, or no rare word at all."""
+    monkeypatch.setattr(lines, "RARE", rare)
+    r = random.Random(8)
+    voc = [f"w{i}" for i in range(30)]
+    word = lambda: r.choice(voc) if r.random() < 0.8 else f"r{r.randrange(60)}"
+    texts = []
+    for n in [5, 6, 7, 8, 9, 10, 13, 14, 15, 19, 20, 24, 29, 34, 44, 60, 120, 188, 191, 193, 199, 204, 236, 241] * 2:
+        base = [word() for _ in range(n)]
+        for share in (0, 0.1, 0.2, 0.2, 0.2, 0.25):
+            w = list(base)
+            for _ in range(int((n + 1) * share)):
+                at, kind = r.randrange(len(w)), r.randrange(3)
+                w[at : at + (kind > 0)] = [word()] * (kind < 2)
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    want = _near_lines([((i, 0), t.split()) for i, t in enumerate(texts)])
+    assert len(want) > 80
+    assert {(x.doc_id, i) for x in lines.removed(docs_of(spark, texts)).collect() for i in x.gone} == want
+
+
+def test_line_dedup_gives_frequent_words_to_no_key(spark, monkeypatch):
+    """Lines of frequent words in any order: few share a pair of neighbours, all would share single words."""
+    monkeypatch.setattr(lines, "RARE", 100)
+    r, words = random.Random(9), [f"w{i}" for i in range(400)]
+    texts = [" ".join(r.sample(words, 40)) for _ in range(3000)]
+    keys = lines._keyed(docs_of(spark, texts)).select(F.explode("keys").alias("key"), "n")
+    seen = [x["count"] for x in keys.groupBy("key").count().collect()]
+    assert max(seen) <= 12 and sum(seen) <= 17 * len(texts)
+
+
 def test_line_dedup_keeps_all_columns_and_takes_long_lines(spark):
     t = " ".join(f"word{i}" for i in range(20_000))
     rows = [(1, t, "a", "b", "c", "d", "e"), (2, t + " more", "a", "b", "c", "d", "e"), (2, "x y", "p", "q", "r", "s", "t"), (2, "x y", "p", "q", "r", "s", "t")]
